@@ -10,26 +10,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as a lambda's argument."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def encode(doc_ids: Column, frequencies: Column) -> Column:
     """BINARY; empty for empty lists. Raises if the lists differ in length or ids descend."""
-    gaps = F.transform(doc_ids, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(doc_ids, i - 1)))
-    values = F.concat(gaps, frequencies)
-    width = F.ceil(F.length(F.bin(F.array_max(values))) / F.lit(8)).cast("int")
-    digits = F.transform(values, lambda v: F.lpad(F.hex(v), width * 2, "0"))
-    blob = F.unhex(F.concat(F.lpad(F.hex(width.cast("long")), 2, "0"), F.array_join(digits, "")))
-    bad_length = F.raise_error(F.lit("document ids and frequencies differ in length")).cast("binary")
-    bad_order = F.raise_error(F.lit("document ids must be ascending and not negative")).cast("binary")
-    return (
-        F.when(F.size(doc_ids) != F.size(frequencies), bad_length)
-        .when(F.size(doc_ids) == 0, F.lit(b""))
-        .when(F.array_min(values) < 0, bad_order)
-        .otherwise(blob)
-    )
 
+    def digits(values: Column, width: Column) -> Column:
+        each = F.transform(values, lambda v: F.lpad(F.hex(v), width * 2, "0"))
+        return F.unhex(F.concat(F.lpad(F.hex(width.cast("long")), 2, "0"), F.array_join(each, "")))
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, as a lambda's argument."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    def blob(values: Column) -> Column:
+        bad = F.raise_error(F.lit("document ids must be ascending and not negative")).cast("binary")
+        width = F.ceil(F.length(F.bin(F.array_max(values))) / F.lit(8)).cast("int")
+        return F.when(F.array_min(values) < 0, bad).otherwise(_let(width, lambda w: digits(values, w)))
+
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice(doc_ids, F.lit(1), F.greatest(F.size(doc_ids) - 1, F.lit(0))))
+    values = F.concat(F.zip_with(doc_ids, before, lambda x, y: x - y), frequencies)
+    bad_length = F.raise_error(F.lit("document ids and frequencies differ in length")).cast("binary")
+    return F.when(F.size(doc_ids) != F.size(frequencies), bad_length).when(F.size(doc_ids) == 0, F.lit(b"")).otherwise(_let(values, blob))
 
 
 def _numbers(blob: Column) -> Column:
@@ -42,7 +43,7 @@ def _numbers(blob: Column) -> Column:
         return F.when((n == F.floor(n)) & (n % 2 == 0), cut).otherwise(bad)
 
     width = F.conv(F.hex(F.substr(blob, F.lit(1), F.lit(1))), 16, 10).cast("int")
-    return _let(F.hex(F.substr(blob, F.lit(2))), lambda text: parse(text, width))
+    return _let(F.hex(F.substr(blob, F.lit(2))), lambda text: _let(width, lambda w: parse(text, w)))
 
 
 def decode_gaps(blob: Column) -> Column:
@@ -53,7 +54,7 @@ def decode_gaps(blob: Column) -> Column:
         return F.zip_with(F.slice(numbers, F.lit(1), half), F.slice(numbers, half + 1, half), lambda g, f: F.struct(g.alias("gap"), f.alias("tf")))
 
     none = F.array().cast("array<struct<gap:bigint,tf:bigint>>")
-    return F.when(F.length(blob) == 0, none).otherwise(_let(_numbers(blob), zipped))
+    return _let(blob, lambda b: F.when(F.length(b) == 0, none).otherwise(_let(_numbers(b), zipped)))
 
 
 def decode(blob: Column) -> tuple[Column, Column]:
@@ -61,7 +62,6 @@ def decode(blob: Column) -> tuple[Column, Column]:
 
     The running sums copy the list; for whole tables use ``operators.index.decompress``.
     """
-    pairs = decode_gaps(blob)
     start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
     step = lambda a, p: F.struct((a["last"] + p["gap"]).alias("last"), F.array_append(a["ids"], a["last"] + p["gap"]).alias("ids"))
-    return F.aggregate(pairs, start, step)["ids"], F.transform(pairs, lambda p: p["tf"])
+    return F.aggregate(decode_gaps(blob), start, step)["ids"], F.transform(decode_gaps(blob), lambda p: p["tf"])
