@@ -15,7 +15,7 @@ any label every score is 0.5; held_out is false for a null doc_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -83,6 +83,19 @@ class Bags:
         return out
 
 
+def groups(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Consecutive texts of at most GROUP bytes together, or one alone."""
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t) > GROUP:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
+
+
 @dataclass
 class Model:
     """Encoder W, b; gates V, U, w; scorer c, d."""
@@ -129,9 +142,13 @@ class Model:
         """About ``steps`` minibatches, however many documents there are."""
         self.start()
         epochs = max(1, round(steps * batch / max(batch, len(texts))))
-        bags = Bags.of(texts)
-        x = np.concatenate([bags.features(a, min(a + STEP, len(bags.doc))) for a in range(0, len(bags.doc), STEP)])
-        edges = np.searchsorted(bags.doc, np.arange(len(texts) + 1))
+        parts, sizes = [], []
+        for group in groups(texts):  # the arrays that cut bytes into passages are several times the text
+            bags = Bags.of(group)
+            parts += [bags.features(a, min(a + STEP, len(bags.doc))) for a in range(0, len(bags.doc), STEP)]
+            sizes.append(np.bincount(bags.doc, minlength=len(group)))
+        x, edges = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        del parts
         r, t = np.random.default_rng(self.seed), 0
         m, v = ({k: np.zeros_like(g) for k, g in self.p.items()} for _ in range(2))
         for epoch in range(epochs):
@@ -184,16 +201,7 @@ def with_score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            group, size, scores = [], 0, []
-            for t in texts:
-                b = (t.as_py() or "").encode()
-                if group and size + len(b) > GROUP:
-                    scores.append(sent.value.score(group))
-                    group, size = [], 0
-                group.append(b)
-                size += len(b)
-            if group:
-                scores.append(sent.value.score(group))
+            scores = [sent.value.score(group) for group in groups((t.as_py() or "").encode() for t in texts)]
             yield pa.array(np.concatenate(scores) if scores else [], pa.float64())
 
     return docs.withColumn(out, score(F.col("text").cast("string")))
