@@ -96,9 +96,9 @@ NDCG = f"""WITH {matches()}, {ALL_MODES}, {QRELS}, got AS (
   SELECT i.*, coalesce(got, 0) AS got FROM ideal i LEFT JOIN got USING (query_id, query_type, method, position)
 ), shared AS (
   SELECT *, avg(gain) OVER (PARTITION BY query_id, query_type, method, got) AS mean_gain,
-         row_number() OVER (PARTITION BY query_id, query_type, method ORDER BY got DESC, position) AS at FROM slots
+         row_number() OVER (PARTITION BY query_id, query_type, method ORDER BY got DESC, position) AS place FROM slots
 ), sums AS (
-  SELECT query_id, query_type, method, sum(mean_gain / log2(at + 1)) AS dcg, sum(gain / log2(position + 1)) AS best, count(*) AS n FROM shared GROUP BY ALL
+  SELECT query_id, query_type, method, sum(mean_gain / log2(place + 1)) AS dcg, sum(gain / log2(position + 1)) AS best, count(*) AS n FROM shared GROUP BY ALL
 ), metrics AS (
   SELECT query_id::BIGINT AS query_id, query_type, method,
          CASE WHEN coalesce(n_got, 0) <= n AND n > 1 AND best > 0 THEN dcg / best ELSE 0 END AS ndcg
