@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, scratch_table
+from .shingle_sets import similar_groups
 
 SEED = 42
 #: Shingles hashed at a time.
@@ -243,17 +244,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return with_components(rows, radius).select("doc_id", hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The columns of ``docs``, one document of each component: its smallest doc_id.
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The columns of ``docs``, one document of each group of near copies: its smallest doc_id.
 
-    Documents without a doc_id are kept only if no document of their component has one, and
-    then one per distinct fingerprint; so are rows that repeat a kept doc_id.
+    Near copies share ``similarity`` of their word shingles, or are linked by others that do;
+    see ``shingle_sets``. Rows without a doc_id come after all others of their group; texts
+    without words are copies of each other; of repeated rows one stays.
     """
     names = docs.columns
-    taken = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows = scratch_table(with_fingerprint(taken, out="__fp_value", shingle=shingle))
-    narrow = rows.select("doc_id", F.col("__fp_value").alias("fp"), "__row")
-    found = with_components(narrow, radius)
-    kept = found.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    one = kept.groupBy("component_id", "fp").agg(F.min("__row").alias("__row")).select("__row")
-    return rows.join(one, "__row", "left_semi").select(*names)
+    rows = scratch_table(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = similar_groups(rows, connect, "__row", "text", shingle, similarity)
+    ids = rows.select("__row", F.col("doc_id").alias("__id")).join(groups, "__row")
+    kept = ids.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*names)

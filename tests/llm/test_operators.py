@@ -166,6 +166,29 @@ def test_simhash(spark):
     assert kept.columns == docs(spark).columns and sorted(r.doc_id for r in kept.collect())[:2] == [0, 3]
 
 
+def test_kept_documents_match_brute_force(spark):
+    r = np.random.default_rng(2)
+    base, texts = [f"w{x}" for x in r.integers(0, 5000, 120)], [*TEXTS]
+    for i in range(150):  # one large group of near copies, and groups of two
+        words = base if i < 100 else [f"v{x}" for x in r.integers(0, 5000, 90)]
+        for _ in range(1 if i < 100 else 2):
+            words = [*words]
+            for j in r.integers(0, len(words), r.integers(0, 4)):
+                words[j] = f"e{r.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    rows = {i: t for i, t in enumerate(texts) if i != 2}
+    sets, group = {}, {}
+    for i, t in rows.items():
+        words = (t or "").encode().lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        near = {group[j] for j in group if sets[i] == sets[j] or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))}
+        group[i] = min(near | {i})
+        group |= {j: group[i] for j, g in group.items() if g in near}
+    kept = [r.doc_id for r in simhash.keep_one(docs(spark, texts)).select("doc_id").collect()]
+    assert sorted(kept) == sorted(set(group.values())) and len(kept) < len(texts) - 100
+    assert simhash.keep_one(docs(spark, [])).count() == 0
+
+
 def test_simhash_links_match_brute_force(spark):
     r = np.random.default_rng(1)
     points = [r.integers(0, 2**63, 600).astype(np.uint64)]
