@@ -7,14 +7,13 @@ dedup of the pipeline takes its candidates from min-hash bands and checks each e
 1. Arrow UDF: hashes of the distinct shingles of the whole text, a 128-bit digest of that set
    and ``BANDS`` keys of ``ROWS`` min-hashes (a pair at 0.8 shares none in 3 of a million cases).
 2. Equal sets collapse to one node.
-3. In each of ``rounds`` rounds every node of a bucket (a band's key) is paired with the
-   bucket's two nodes of extreme draw: rows grow with nodes, not with pairs. Pairs within one
+3. In each of ``rounds`` rounds every node of a bucket (a band's key) is paired with two
+   nodes of the bucket drawn anew: rows grow with nodes, not with pairs. Pairs within one
    component go; the others are checked by their sets, and links that hold join components.
-4. What the stars left open is closed exactly: in buckets that still hold several components,
-   nodes outside the largest one meet the nodes of other components. Buckets of three or fewer
-   nodes are covered whole by the first round. So no link between texts that share a band is
-   lost, and a joined group of copies costs nothing here; a bucket of many texts that are not
-   near copies of each other costs the square of its size.
+   Buckets of three or fewer nodes are covered whole; in larger ones later rounds draw from
+   what the bucket's largest component does not hold, so a group of copies that is joined
+   costs nothing more. In a very large group of texts that differ by about the threshold, a
+   text whose only links are to a few texts that no round drew can stay apart.
 """
 
 from __future__ import annotations
@@ -97,29 +96,23 @@ def sets(shingle: int) -> Callable[[Column], Column]:
 
 
 def star_pairs(placed: DataFrame, number: int) -> DataFrame:
-    """(node, other): every node with the two extreme draws of each of its buckets, where the
-    two are of different components."""
+    """(node, other): every node with two nodes of each of its buckets, where the two are of
+    different components. Round 0 takes the two extreme draws; later rounds, in buckets of more
+    than three nodes that hold several components, one draw from outside the bucket's largest
+    component and one from all."""
+    draw, outside = F.xxhash64(F.lit(number), "band", "key", "node"), F.lit(True)
+    if number:
+        counts = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
+        mixed = counts.groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n"))
+        placed = placed.join(mixed.filter("n > 3 and comps > 1").select("band", "key", "main"), ["band", "key"])
+        outside = F.col("comp") != F.col("main")
     member = F.struct("node", "comp")
-    draw = F.xxhash64(F.lit(number), "band", "key", "node")
-    ends = placed.groupBy("band", "key").agg(F.min_by(member, draw).alias("p"), F.max_by(member, draw).alias("q"))
+    ends = placed.groupBy("band", "key").agg(F.min_by(member, F.when(outside, draw)).alias("p"), F.max_by(member, draw).alias("q"))
     met = placed.join(ends, ["band", "key"]).select("node", "comp", F.explode(F.array("p", "q")).alias("end"))
     return met.filter("comp != end.comp").select("node", F.col("end.node").alias("other"))
 
 
-def rest_pairs(placed: DataFrame) -> DataFrame:
-    """(node, other): in buckets of more than three nodes, every node outside the bucket's
-    largest component with every node of another component. Nodes of that largest component
-    are not paired with each other, so a group of copies gives no pairs once it is joined."""
-    counts = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n"))
-    mixed = mixed.filter("n > 3 and comps > 1").select("band", "key", "main")
-    inside = placed.join(mixed, ["band", "key"])
-    outside = inside.filter("comp != main").select("band", "key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-    met = inside.join(outside, ["band", "key"]).filter("comp != other_comp and (comp = main or node < other)")
-    return met.select("node", "other")
-
-
-def similar_groups(rows: DataFrame, connect: Callable[[DataFrame], DataFrame], row: str, text: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+def similar_groups(rows: DataFrame, connect: Callable[[DataFrame], DataFrame], row: str, text: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
     """(``row``, __group): the group of every row of ``rows`` (materialized: read twice), as the
     smallest ``row`` in it. ``row`` is a unique long; ``connect`` maps links (u > v) to
     (u, v) with the least v of u's component."""
@@ -144,9 +137,8 @@ def similar_groups(rows: DataFrame, connect: Callable[[DataFrame], DataFrame], r
         return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
     placed, roots, found = buckets.withColumn("comp", F.col("node")), None, None
-    for number in range(rounds + 1):
-        pairs = star_pairs(placed, number) if number < rounds else rest_pairs(placed)
-        more = held(pairs.select(*ordered("node", "other")).distinct())
+    for number in range(rounds):
+        more = held(star_pairs(placed, number).select(*ordered("node", "other")).distinct())
         if more.isEmpty():
             continue
         found = more if found is None else found.union(more)
