@@ -12,8 +12,11 @@ dedup of the pipeline takes its candidates from min-hash bands and checks each e
    component go; the others are checked by their sets, and links that hold join components.
    Buckets of three or fewer nodes are covered whole; in larger ones later rounds draw from
    what the bucket's largest component does not hold, so a group of copies that is joined
-   costs nothing more. In a very large group of texts that differ by about the threshold, a
-   text whose only links are to a few texts that no round drew can stay apart.
+   costs nothing more.
+4. What the draws left open is checked whole: in every bucket of more than three nodes that
+   still holds several components, each node outside the largest one meets all nodes of the
+   bucket, block by block (``open_links``). So every pair that shares a bucket is either
+   checked or already in one component; no pair of nodes is ever a row.
 """
 
 from __future__ import annotations
@@ -112,7 +115,69 @@ def star_pairs(placed: DataFrame, number: int) -> DataFrame:
     return met.filter("comp != end.comp").select("node", F.col("end.node").alias("other"))
 
 
-def similar_groups(rows: DataFrame, connect: Callable[[DataFrame], DataFrame], row: str, text: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
+def block_links(block: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """(u, v): links from the nodes that ask to the others of the block, where they join
+    components that the block's earlier links have not: at most one row per component."""
+    asked, asks = block[~block["asks"]], block[block["asks"]]
+    u, v, above = [], [], {}
+
+    def root(c: int) -> int:
+        while (up := above.get(c, c)) != c:
+            above[c] = c = above.get(up, up)
+        return c
+
+    if len(asked) and len(asks):
+        size = asked["set"].map(len).to_numpy()
+        hashes, codes = np.unique(np.concatenate(asked["set"].to_list()), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        nodes, comps = asked["node"].to_numpy(), asked["comp"].to_numpy()
+        for node, comp, own in zip(asks["node"], asks["comp"], asks["set"], strict=True):
+            known = np.zeros(len(hashes) + 1, bool)
+            at = np.searchsorted(hashes, own)
+            known[at[hashes[np.minimum(at, len(hashes) - 1)] == own]] = True
+            both = np.add.reduceat(known[codes], starts, dtype=np.int64)
+            near = np.flatnonzero((both >= similarity * (size + len(own) - both)) & (comps != comp))
+            for other, first in zip(*np.unique(comps[near], return_index=True), strict=True):
+                if root(int(other)) != root(int(comp)):
+                    above[root(int(other))] = root(int(comp))
+                    u.append(max(node, nodes[near[first]]))
+                    v.append(min(node, nodes[near[first]]))
+    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+
+def open_links(placed: DataFrame, known: DataFrame, similarity: float, block_nodes: int = 256, block_hashes: int = 2**18) -> DataFrame:
+    """(u, v): links that join all components of ``placed`` (band, key, node, comp) which share
+    a bucket of more than three nodes and hold a pair of similar nodes there.
+
+    The nodes of a bucket are dealt to parts, and so are its nodes outside the largest
+    component, which ask; a task gets one part of each, so neither a large bucket nor large
+    sets gather in one task. A bucket of n nodes, m of which ask, takes about m * n /
+    ``block_nodes`` rows.
+    """
+    sized = placed.join(known.select("node", F.size("set").alias("hashes")), "node")
+    counts = sized.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.sum("hashes").alias("hashes"))
+    mixed = counts.groupBy("band", "key").agg(F.max(F.struct("n", "comp", "hashes")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("hashes").alias("hashes"))
+
+    def parts(n: Column, hashes: Column) -> Column:
+        return F.greatest(F.ceil(n / block_nodes), F.ceil(hashes / block_hashes), F.lit(1)).cast("int")
+
+    open_ones = mixed.filter("n > 3 and comps > 1").select(
+        "band", "key", F.col("main.comp").alias("main"), parts(F.col("n"), F.col("hashes")).alias("parts"), parts(F.col("n") - F.col("main.n"), F.col("hashes") - F.col("main.hashes")).alias("ask_parts")
+    )
+    met = placed.join(open_ones, ["band", "key"])
+    part, ask_part = F.pmod(F.xxhash64(F.lit("part"), "node"), "parts").cast("int"), F.pmod(F.xxhash64(F.lit("ask"), "node"), "ask_parts").cast("int")
+    ids = ["band", "key", "node", "comp"]
+    asked = met.select(*ids, F.lit(False).alias("asks"), part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)).alias("ask_part"))
+    asks = met.filter("comp != main").select(*ids, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), ask_part.alias("ask_part"))
+    rows = asked.union(asks).join(known, "node")
+
+    def within(block: pd.DataFrame) -> pd.DataFrame:
+        return block_links(block, similarity)
+
+    return rows.groupBy("band", "key", "part", "ask_part").applyInPandas(within, "u long, v long").distinct()
+
+
+def similar_groups(rows: DataFrame, connect: Callable[[DataFrame], DataFrame], row: str, text: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
     """(``row``, __group): the group of every row of ``rows`` (materialized: read twice), as the
     smallest ``row`` in it. ``row`` is a unique long; ``connect`` maps links (u > v) to
     (u, v) with the least v of u's component."""
@@ -136,15 +201,21 @@ def similar_groups(rows: DataFrame, connect: Callable[[DataFrame], DataFrame], r
     def ordered(a: str, b: str) -> list[Column]:
         return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
-    placed, roots, found = buckets.withColumn("comp", F.col("node")), None, None
-    for number in range(rounds):
-        more = held(star_pairs(placed, number).select(*ordered("node", "other")).distinct())
-        if more.isEmpty():
-            continue
+    def joined(more: DataFrame) -> None:
+        nonlocal placed, roots, found
         found = more if found is None else found.union(more)
         roots = connect(found)
         own = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
         placed = scratch_table(buckets.join(own, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("comp")))
+
+    placed, roots, found = buckets.withColumn("comp", F.col("node")), None, None
+    for number in range(rounds):
+        more = held(star_pairs(placed, number).select(*ordered("node", "other")).distinct())
+        if not more.isEmpty():
+            joined(more)
+    more = scratch_table(open_links(placed, known, similarity))
+    if not more.isEmpty():
+        joined(more)
     if roots is None:
         return members.withColumnRenamed("node", "__group")
     own = roots.select(F.col("u").alias("node"), F.col("v").alias("__root"))

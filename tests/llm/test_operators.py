@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import ann, byte_bpe, line_dedup, packing, quality, queries, sharding, simhash, token_count, topk_index, url_filter
+from quern.llm import ann, byte_bpe, line_dedup, packing, quality, queries, sharding, shingle_sets, simhash, token_count, topk_index, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, score double, ids string"
 LONG = "word and more words " * 3000
@@ -189,6 +189,31 @@ def test_kept_documents_match_brute_force(spark):
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_blocks_of_a_bucket_join_all_that_is_similar(spark):
+    r = np.random.default_rng(5)
+    base, sets = r.integers(-(2**62), 2**62, 100), []
+    for i in range(60):  # about half of the pairs are similar, some only by way of others
+        own = base.copy() if i < 45 else r.integers(-(2**62), 2**62, 100)
+        own[r.integers(0, 100, r.integers(0, 18))] = i
+        sets.append(np.unique(own))
+    labels = list(range(60))
+    near = [(i, j) for i in range(60) for j in range(i) if (b := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - b)]
+    for i, j in near:
+        labels = [min(labels[i], labels[j]) if x in (labels[i], labels[j]) else x for x in labels]
+    comp = [0 if i < 20 and labels[i] == 0 else i for i in range(60)]  # part of the group is joined already
+    placed = spark.createDataFrame([(b, 9, i, comp[i]) for b in range(2) for i in range(60)], "band int, key long, node long, comp long")
+    known = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "node long, set array<long>")
+    for sizes in ({}, {"block_nodes": 7}, {"block_hashes": 1500}):
+        found = values(shingle_sets.open_links(placed, known, 0.8, **sizes), "u", "v")
+        assert set(found) <= set(near) and len(found) < len(near)
+        mine = list(comp)
+        for i, j in found:
+            mine = [min(mine[i], mine[j]) if x in (mine[i], mine[j]) else x for x in mine]
+        assert mine == labels and len(set(labels)) > 10
+    one = placed.withColumn("comp", F.lit(0).cast("long"))
+    assert shingle_sets.open_links(one, known, 0.8).count() == shingle_sets.open_links(placed.limit(0), known, 0.8).count() == 0
+
+
 def test_simhash_links_match_brute_force(spark):
     r = np.random.default_rng(1)
     points = [r.integers(0, 2**63, 600).astype(np.uint64)]
