@@ -2,13 +2,15 @@
 
 For each host, the number of pages that contain a line is divided by the host's pages; a
 line whose ratio exceeds ``max_ratio`` on at least ``min_pages`` pages is boilerplate of
-that host and is dropped from all of its pages.
+that host and is dropped from all of its pages. Copies are one page here: pages of a host with
+equal texts count once, in both numbers, so a page that is copied over a large part of its
+host does not turn its own content into boilerplate.
 
 Lines are split at ``\\n`` and compared without surrounding spaces, tabs and carriage
 returns. A line counts once per page however often it stands there. Blank lines are never
 boilerplate. Defined cases: a null host is the host ''; a null text stays null and counts
-as a page without lines; a text whose lines all go becomes ''; repeated rows are pages of
-their own; other columns pass through; an empty table gives an empty result.
+as a page without lines; a text whose lines all go becomes ''; repeated rows count as one
+page and are all returned; other columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,16 +38,17 @@ def boilerplate(pages: DataFrame, host: Column, text: str, max_ratio: float, min
 
     A host has at most ``lines per page / max_ratio`` boilerplate lines, so the array is
     bounded whatever the number of its pages. Lines are made distinct inside the page before
-    they are exploded and pre-aggregated before the shuffle, so a hot host or line costs one
-    row per task.
+    they are exploded and pre-aggregated before each shuffle, so a hot host, line or page
+    costs one row per task.
     """
-    src = pages.select(F.coalesce(host, F.lit("")).alias("__host"), F.col(text).alias("__text"))
-    totals = src.groupBy("__host").agg(F.count("*").alias("__pages"))
+    page = F.struct(F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit("page"), F.col(text)).alias("b"))
+    src = pages.select(F.coalesce(host, F.lit("")).alias("__host"), F.col(text).alias("__text"), page.alias("__page"))
+    totals = src.groupBy("__host").agg(F.count_distinct("__page").alias("__pages"))
     lines = F.filter(F.split("__text", "\n", -1), lambda x: ~_blank(x))
     seen = (
-        src.select("__host", F.explode(F.array_distinct(F.transform(lines, _key))).alias("__line"))
+        src.select("__host", "__page", F.explode(F.array_distinct(F.transform(lines, _key))).alias("__line"))
         .groupBy("__host", "__line")
-        .agg(F.count("*").alias("__with"))
+        .agg(F.count_distinct("__page").alias("__with"))
         .filter(F.col("__with") >= F.lit(min_pages))
     )
     return (

@@ -95,11 +95,11 @@ OP7 = """
 WITH lines AS (
   SELECT doc_id, source, text, string_split(text, chr(10)) AS l FROM documents
 ), per_page AS (
-  SELECT coalesce(source, '') AS host,
+  SELECT DISTINCT coalesce(source, '') AS host, text,
          unnest(list_distinct(list_filter(list_transform(l, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x != ''))) AS line
   FROM lines
 ), hosts AS (
-  SELECT coalesce(source, '') AS host, count(*) AS pages FROM documents GROUP BY 1
+  SELECT host, count(*) AS pages FROM (SELECT DISTINCT coalesce(source, '') AS host, text FROM documents) GROUP BY host
 ), bad AS (
   SELECT host, list(line) AS bad
   FROM (SELECT host, line, count(*) AS c FROM per_page GROUP BY host, line HAVING count(*) >= 5) JOIN hosts USING (host)

@@ -147,6 +147,13 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(df.limit(0), F.col("source")).count() == 0
 
 
+def test_copies_of_a_page_count_once(spark):
+    texts = ["news\nof the day"] * 40 + [f"menu\nunique {i}" for i in range(40)] + [None] * 3
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df, F.col("source")).collect()}
+    assert [got[i] for i in range(83)] == texts[:40] + [f"unique {i}" for i in range(40)] + [None] * 3
+
+
 def plain_fingerprint(t):
     from xxhash import xxh64_intdigest
 
