@@ -182,7 +182,8 @@ def similar_groups(rows: DataFrame, connect: Callable[[DataFrame], DataFrame], r
     smallest ``row`` in it. ``row`` is a unique long; ``connect`` maps links (u > v) to
     (u, v) with the least v of u's component."""
     signed = scratch_table(rows.select(row, signatures(shingle)(F.col(text).cast("string")).alias("s")).select(row, "s.*"))
-    nodes = signed.groupBy("a", "b").agg(F.min(row).alias("node"))
+    # written, so that the join has no aggregate beside it and a hot set's rows can be split
+    nodes = scratch_table(signed.groupBy("a", "b").agg(F.min(row).alias("node")))
     members = scratch_table(signed.select(row, "a", "b").join(nodes, ["a", "b"]).select(row, "node"))
     firsts = members.filter(F.col(row) == F.col("node")).select(row)
     keyed = signed.join(firsts, row, "left_semi").select(F.col(row).alias("node"), F.posexplode("keys").alias("band", "key"))
