@@ -1,11 +1,15 @@
 """Golden values, round trips, invariants and error cases of the retrieval engine."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import codec, text
 from quern.functions.stemmer import stem
 from quern.operators import evaluate, index, search
+from quern.plans import queries as plans
 from quern.sources import collection
 
 PLAIN = text.TextOptions(stopwords=False, stemming=False)
@@ -120,3 +124,39 @@ def test_readers(spark, tmp_path):
     (tmp_path / "q.txt").write_text("1 0 7\n")
     with pytest.raises(Exception, match="four fields"):
         collection.read_qrels(spark, str(tmp_path / "q.txt")).collect()
+
+
+def test_all_labelled_documents_are_judged(spark, tmp_path):
+    spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in (1, 2, 3, 21, 45)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = plans.qrels(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.doc_id, r.relevance) for r in got) == [(q, i, i % 2 * 2 + i % 3 // 2) for q in (1, 2, 3, 5) for i in (1, 2, 3, 21, 45)]
+    assert sorted(r[0] for r in plans.judged_queries(spark, str(tmp_path)).collect()) == [1, 2, 3, 5]
+
+
+def plain_ndcg(judged, found):
+    """The measures' definitions over the whole list of judgements."""
+    gains = sorted(judged.values(), reverse=True)
+    got = [judged.get(d, 0) for d in found] + [0] * (len(gains) - len(found))
+
+    def dcg(g):
+        return sum(x / math.log2(i + 2) for i, x in enumerate(g))
+
+    best, best10 = dcg(gains), dcg(gains[:10])
+    tied = {s: [g for g, t in zip(gains, got) if t == s] for s in got}
+    shared = [sum(tied[s]) / len(tied[s]) for s in sorted(got, reverse=True)] if len(got) == len(gains) else []
+    reference = dcg(shared) / best if len(found) <= len(gains) and len(gains) > 1 and best > 0 else 0
+    return reference, dcg([judged.get(d, 0) for d in found[:10]]) / best10 if best10 > 0 else 0
+
+
+def test_ndcg_matches_its_definition_over_all_judgements(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "BLOCK", 7)
+    r = random.Random(4)
+    judged = {q: {d: r.choice((0, 0, 1, 2, 3) if q % 2 else (-2, -1, 0, 0, 1, 3)) for d in r.sample(range(300), n)} for q, n in enumerate((1, 2, 9, 10, 11, 40, 41, 200, 201, 3, 30))}
+    judged[9], judged[10] = dict.fromkeys(judged[9], 0), dict.fromkeys(judged[10], 2)
+    found = {q: r.sample(range(300), r.choice((0, 3, 10))) if q % 3 else [*r.sample(sorted(j), min(len(j), 8)), 999][:10] for q, j in judged.items()}
+    qrels = spark.createDataFrame([(q, d, x) for q, j in judged.items() for d, x in j.items()], "query_id long, doc_id long, relevance int")
+    ranked = spark.createDataFrame([(q, i + 1, d) for q, f in found.items() for i, d in enumerate(f)], "query_id long, rank int, doc_id long")
+    runs = spark.createDataFrame([(q,) for q in judged], "query_id long")
+    for place, measure in enumerate((evaluate.ndcg_reference, evaluate.ndcg_at_k)):
+        got = {x.query_id: x.ndcg for x in measure(ranked, qrels, runs, ["query_id"]).collect()}
+        assert got == pytest.approx({q: plain_ndcg(judged[q], found[q])[place] for q in judged}, abs=1e-12)
