@@ -10,8 +10,10 @@ Euclidean distance in double precision.
 
 A partition is stored in blocks of bounded size over as many tasks as it needs, so a hot
 one (equal vectors by the thousand) is read by many tasks, each giving at most k rows a
-query. Defined cases: see ``vectors``; zero vectors take no part; fewer than k candidates in
-the probed partitions give those; an empty table gives none.
+query. Partitions of the index are not balanced: a query whose most probable ones hold k rows
+or fewer takes further ones, in order of probability, until they hold k + 1, its own row
+among them. Defined cases: see ``vectors``; zero vectors take no part; fewer than k
+candidates in the whole table give those; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -162,6 +164,19 @@ class LearnedIndex:
 
         placed = vectors.mapInPandas(place, "cell int, vec_id long, x binary")
         self.blocks = blocks(placed, ["cell"], [], width, block_rows)
+        self.sizes = np.zeros(self.router.p[3].size, np.int64)  # rows of each partition
+        for cell, n in self.blocks.groupBy("cell").agg(F.sum("n")).collect():
+            self.sizes[cell] = n
+
+
+def probed_partitions(probabilities: np.ndarray, sizes: np.ndarray, probes: int, k: int) -> np.ndarray:
+    """The partitions that each query reads, padded with -1: its ``probes`` most probable ones,
+    and as many more as it takes to hold k + 1 rows."""
+    order = np.argsort(-probabilities, axis=1, kind="stable")
+    short = np.cumsum(sizes[order], axis=1) <= k
+    needed = np.minimum(np.maximum(short.sum(1) + 1, probes), len(sizes))
+    most = int(needed.max(initial=1))
+    return np.where(np.arange(most) < needed[:, None], order[:, :most], -1)
 
 
 def scan(parts: Iterator[pd.DataFrame], width: int, ids: np.ndarray, q: np.ndarray, probed: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
@@ -192,14 +207,15 @@ def scan(parts: Iterator[pd.DataFrame], width: int, ids: np.ndarray, q: np.ndarr
 def search(index: LearnedIndex, queries: DataFrame, k: int = 10, probes: int | None = None, batch: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query (vec_id, v).
 
-    ``probes`` defaults to what the index was calibrated to.
+    ``probes`` defaults to what the index was calibrated to; a query reads more where these hold
+    too few rows.
     """
     probes = probes or index.probes
     spark, schema = queries.sparkSession, "query_id long, vec_id long, score double"
 
     def one(rows: pd.DataFrame) -> DataFrame:
         ids, q = rows["vec_id"].to_numpy(np.int64), matrix(rows["v"], index.width)
-        probed = np.argsort(-index.router.probabilities(q), axis=1, kind="stable")[:, :probes] if len(q) else np.zeros((0, 1), int)
+        probed = probed_partitions(index.router.probabilities(q), index.sizes, probes, k) if len(q) else np.zeros((0, 1), int)
         sent = spark.sparkContext.broadcast((index.width, ids, q, probed))  # at most batch rows
         return index.blocks.mapInPandas(lambda p: scan(p, *sent.value, k), schema)
 

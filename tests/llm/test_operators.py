@@ -103,6 +103,17 @@ def test_ann_recall_and_exact_scores(spark):
     assert ann.search(ann.LearnedIndex(rows.limit(0)), rows.limit(0), 10).count() == 0
 
 
+def test_ann_fills_k_from_further_partitions(spark):
+    df, x = vectors(spark)
+    index = ann.LearnedIndex(ann.usable_vectors(df).cache(), parts=32, block_rows=64)
+    got = Counter(r.query_id for r in ann.search(index, ann.usable_vectors(df), 10, probes=1).collect())
+    assert len(got) == 400 and set(got.values()) == {10}
+    assert index.sizes.sum() == 400 and index.sizes.min() <= 10
+    few = ann.usable_vectors(df).filter("vec_id < 6 or vec_id = 350")
+    got = Counter(r.query_id for r in ann.search(ann.LearnedIndex(few, parts=4), few, 10, probes=1).collect())
+    assert got == dict.fromkeys([0, 1, 2, 3, 4, 5, 350], 6)
+
+
 def test_packing(spark):
     import tokenizers
 
