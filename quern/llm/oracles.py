@@ -77,14 +77,16 @@ FROM parsed LEFT JOIN fitted USING (host, path)
 
 OP3 = """
 WITH valid AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), asking AS (
+  SELECT vec_id, min(v) AS v FROM valid WHERE vec_id % 100 = 0 GROUP BY vec_id
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-  FROM valid q JOIN valid c ON c.vec_id != q.vec_id
-  WHERE q.vec_id % 100 = 0
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM asking q JOIN valid c ON c.vec_id != q.vec_id
 ), ordered AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
 )

@@ -1,7 +1,9 @@
 """What both vector searches share: valid vectors, query batches, blocks, the merge of tops.
 
 Vectors of unequal length are compared as if the shorter ones ended in zeros. A row without
-an id takes no part; rows that repeat an id count once, with the smallest of their vectors.
+an id takes no part. Rows that repeat an id are candidates each, so an id may stand several times
+among a query's results; all rows of the query's id are its own. Of rows that repeat the id of a
+query the one with the smallest vector asks.
 """
 
 from __future__ import annotations
@@ -22,12 +24,20 @@ def valid(vector: Column) -> Column:
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str, drop_zero: bool) -> DataFrame:
-    """(vec_id long, v array<double>) of the rows that take part."""
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    """(vec_id long, v) of the rows that take part; ``v`` keeps the components' type (float or
+    double), so blocks of floats stay half the size. Narrow: no shuffle."""
+    kind = dict(vectors.dtypes)[vector]
+    v = F.col(vector) if kind in ("array<float>", "array<double>") else F.col(vector).cast("array<double>")
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
     ok = F.col("vec_id").isNotNull() & valid(F.col("v"))
     if drop_zero:
         ok = ok & F.exists("v", lambda x: x != 0.0)
-    return rows.filter(ok).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.filter(ok)
+
+
+def asking(rows: DataFrame) -> DataFrame:
+    """(vec_id, v) of a query set, one row per id."""
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -39,7 +49,7 @@ def matrix(rows: pd.Series, width: int) -> np.ndarray:
 
 def sample(rows: DataFrame, n: int) -> DataFrame:
     """At most n rows, chosen by the hash of their id: the same at any partitioning."""
-    return rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n)
+    return rows.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(n)
 
 
 def blocks(placed: DataFrame, by: list[str], keep: list[str], width: int, rows: int) -> DataFrame:
@@ -65,30 +75,38 @@ def blocks(placed: DataFrame, by: list[str], keep: list[str], width: int, rows:
     return scratch_table(ordered.mapInPandas(cut, schema))
 
 
-def unpack(ids: bytes, x: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(x, np.float64).reshape(-1, width)
+def unpack(ids: bytes, x: bytes, width: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors (as doubles) of a block whose components are stored as ``kind``."""
+    return np.frombuffer(ids, np.int64), np.frombuffer(x, kind).reshape(-1, width).astype(np.float64)
 
 
 class Top:
-    """The k best of each query so far by (key ascending, vec_id ascending)."""
+    """The k best of each query so far by (key ascending, vec_id ascending).
 
-    def __init__(self, n: int, k: int):
-        self.k = k
-        self.keys = np.full((n, k), np.inf)
+    Keys are doubles, or Python integers of any size where ``exact`` is set.
+    """
+
+    def __init__(self, n: int, k: int, exact: bool = False):
+        self.k, self.none = k, 1 << 8192 if exact else np.inf
+        self.keys = np.full((n, k), self.none, object if exact else np.float64)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
+        self.extra = np.full((n, k), -1, np.int64)
 
     def worst(self) -> np.ndarray:
         return self.keys[:, -1]
 
-    def add(self, query: int, keys: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, query: int, keys: np.ndarray, ids: np.ndarray, extra: int = -1) -> None:
+        """``extra`` is kept beside what ``keys`` and ``ids`` add."""
+        more = np.concatenate([self.extra[query], np.full(len(ids), extra)])
         keys, ids = np.concatenate([self.keys[query], keys]), np.concatenate([self.ids[query], ids])
-        best = np.lexsort((ids, keys))[: self.k]
-        self.keys[query], self.ids[query] = keys[best], ids[best]
-
-    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, vec_id, key) of what was found."""
-        q, j = np.nonzero(np.isfinite(self.keys))
-        return q, self.ids[q, j], self.keys[q, j]
+        best = np.lexsort((ids, keys)) if keys.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (keys[i], ids[i])))
+        best = best[: self.k]
+        self.keys[query], self.ids[query], self.extra[query] = keys[best], ids[best], more[best]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vec_id, key, extra) of what was found."""
+        q, j = np.nonzero(self.keys < self.none)
+        return q, self.ids[q, j], self.keys[q, j], self.extra[q, j]
 
 
 def in_batches(queries: DataFrame, size: int, search: Callable[[pd.DataFrame], DataFrame]) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import ann, byte_bpe, line_dedup, packing, quality, queries, sharding, shingle_sets, simhash, token_count, topk_index, url_filter
+from quern.llm import byte_bpe, line_dedup, packing, quality, queries, sharding, shingle_sets, simhash, token_count, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, score double, ids string"
 LONG = "word and more words " * 3000
@@ -65,55 +65,6 @@ def test_url_filter(spark):
     assert url_filter.judge_pages(pages.limit(0), outcomes.limit(0), queries.RULES).count() == 0
 
 
-def vectors(spark, n=400, width=8):
-    x = np.random.default_rng(3).normal(size=(n, width)).astype(np.float32)
-    x[10:200] = x[10]  # a hot vector
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
-    rows += [(n, None, 0), (n + 1, [None] * width, 0), (n + 2, [float("nan")] * width, 0), (n + 3, [0.0] * width, 0), (None, [1.0] * width, 0), rows[5]]
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int"), x.astype(np.float64)
-
-
-def test_topk_is_exact(spark):
-    df, x = vectors(spark)
-    rows = topk_index.quantized(df).cache()
-    got = topk_index.search(topk_index.PivotIndex(rows, 8, 32), rows.filter("vec_id % 100 = 0"), 10, batch=3)
-    q = np.concatenate([np.floor(1024 * x), np.zeros((1, x.shape[1]))])
-    ids, want = [*range(400), 403], set()
-    for i in (0, 100, 200, 300):
-        order = sorted((-int(q[i] @ q[j]), ids[j]) for j in range(len(ids)) if ids[j] != i)[:10]
-        want |= {(i, r + 1, v, -s) for r, (s, v) in enumerate(order)}
-    assert set(values(got, "query_id", "rank", "vec_id", "score")) == want
-    none = rows.limit(0)
-    assert topk_index.search(topk_index.PivotIndex(none), none, 10).count() == 0
-
-
-def test_ann_recall_and_exact_scores(spark):
-    df, x = vectors(spark)
-    rows = ann.usable_vectors(df).cache()
-    got = ann.search(ann.LearnedIndex(rows, parts=4, block_rows=64), rows.filter("vec_id % 100 = 0"), 10).collect()
-    hits = 0
-    for i in (0, 100, 200, 300):
-        d = np.sqrt(((x - x[i]) ** 2).sum(1))
-        near = sorted((d[j], j) for j in range(400) if j != i)[:10]
-        mine = [r for r in got if r.query_id == i]
-        assert [r.rank for r in sorted(mine, key=lambda r: (r.score, r.vec_id))] == list(range(1, 11))
-        assert all(r.score == pytest.approx(d[r.vec_id], abs=1e-12) for r in mine)
-        hits += len({j for _, j in near} & {r.vec_id for r in mine})
-    assert hits >= 36
-    assert ann.search(ann.LearnedIndex(rows.limit(0)), rows.limit(0), 10).count() == 0
-
-
-def test_ann_fills_k_from_further_partitions(spark):
-    df, x = vectors(spark)
-    index = ann.LearnedIndex(ann.usable_vectors(df).cache(), parts=32, block_rows=64)
-    got = Counter(r.query_id for r in ann.search(index, ann.usable_vectors(df), 10, probes=1).collect())
-    assert len(got) == 400 and set(got.values()) == {10}
-    assert index.sizes.sum() == 400 and index.sizes.min() <= 10
-    few = ann.usable_vectors(df).filter("vec_id < 6 or vec_id = 350")
-    got = Counter(r.query_id for r in ann.search(ann.LearnedIndex(few, parts=4), few, 10, probes=1).collect())
-    assert got == dict.fromkeys([0, 1, 2, 3, 4, 5, 350], 6)
-
-
 def test_packing(spark):
     import tokenizers
 
