@@ -2,24 +2,26 @@
 
 The distinct pre-tokens of a batch that are not in the cache are sorted into buckets by
 byte length and laid out as padded matrices, a row each. In each round every row merges its
-leftmost pair of minimum rank; as each active row then is one token shorter, the matrix
-is compacted by one column, rows without a pair left are done and leave the matrix. Ranks
-of pairs come from a hash table in numpy arrays; after a merge only the two pairs that touch
-the new token are looked up.
+leftmost pair of minimum rank; rows without a pair left are done. Ranks of pairs come from a hash
+table in numpy arrays; after a merge only the two pairs that touch the new token are looked up.
 
-A pre-token that is in the vocabulary as a whole is that one token. One longer than
-``LONGEST`` bytes would need as many rounds as bytes on a wide matrix, so it takes the same
-merges, in the same order, by a heap over linked tokens.
+Buckets go on by doubling, so a pre-token of any length is a row of some matrix; the wider it is
+the fewer rows it has. Up to ``NARROW`` columns each round compacts the matrix by one column. Wider
+ones keep the least rank of each block of about the root of the width, so that a round reads
+and writes a few blocks of a row, and are compacted whenever half of their tokens have been merged
+away; the merges and their order are the same.
 
-Defined cases: a null or empty text has no tokens and decodes to no bytes; special strings
-are ordinary text; repeated rows give a row each; extra columns are ignored.
+A pre-token that is in the vocabulary as a whole is that one token.
+
+Defined cases: a null or empty text has no tokens and decodes to no bytes; very long texts and
+pre-tokens are encoded whole; special strings are ordinary text; repeated rows give a row each;
+extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -29,9 +31,11 @@ from pyspark.sql import DataFrame
 
 #: Rank of a pair that does not merge.
 NONE = np.int32(2**31 - 1)
-#: Upper byte lengths of the matrices' buckets; the last is the longest row.
-BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256)
-LONGEST = BUCKETS[-1]
+#: Upper byte lengths of the first buckets; from there on they double.
+BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
+NARROW = BUCKETS[-1]
+#: Longest pre-token, in characters, that the cache keeps.
+KEPT = 256
 #: Cells of one matrix at most.
 CELLS = 2_000_000
 
@@ -95,16 +99,19 @@ class ByteBPE:
         self.most = most
 
     def merge_rows(self, pieces: list[bytes]) -> list[bytes]:
-        """Little-endian ids of pieces of at most LONGEST bytes."""
+        """Little-endian ids of pieces of any length."""
         out: list[bytes] = [b""] * len(pieces)
         lengths = np.array([len(p) for p in pieces], np.int64)
         order = np.argsort(lengths, kind="stable")
-        begin = 0
-        for most in BUCKETS:
+        begin, widths = 0, list(BUCKETS)
+        while widths[-1] < lengths.max(initial=0):
+            widths.append(2 * widths[-1])
+        for most in widths:
             stop = int(np.searchsorted(lengths[order], most, side="right"))
             step = max(1, CELLS // most)
+            merge = self._merge_matrix if most <= NARROW else self._merge_wide
             for a in range(begin, stop, step):
-                self._merge_matrix(pieces, order[a : min(a + step, stop)], most, out)
+                merge(pieces, order[a : min(a + step, stop)], most, out)
             begin = max(begin, stop)
         return out
 
@@ -136,27 +143,53 @@ class ByteBPE:
                 r, c = every[ok], at[ok]
                 rank[r, c] = self.pairs.rank(ids[r, c], ids[r, c + 1])
 
-    def merge_long(self, piece: bytes) -> bytes:
-        """The same merges by a heap of (rank, position): for pieces over LONGEST bytes."""
-        ids: list[int] = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        size = len(ids)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        pair = lambda i: self.ranks.get(self.tokens[ids[i]] + self.tokens[ids[after[i]]]) if after[i] < size else None
-        heap = [(r, i) for i in range(size) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        gone = bytearray(size)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if gone[i] or pair(i) != r:
-                continue
-            j = after[i]
-            ids[i], after[i], gone[j] = r, after[j], 1
-            if after[j] < size:
-                before[after[j]] = i
-            for k in (before[i], i):
-                if k >= 0 and (x := pair(k)) is not None:
-                    heapq.heappush(heap, (x, k))
-        return np.array([t for t, g in zip(ids, gone, strict=True) if not g], "<u4").tobytes()
+    def _merge_wide(self, pieces: list[bytes], rows: np.ndarray, width: int, out: list[bytes]) -> None:
+        alive = [self.single[np.frombuffer(pieces[i], np.uint8)] for i in rows]
+        while len(rows):
+            rows, alive = self._halve(rows, alive, width, out)
+            width = max((len(x) for x in alive), default=0)
+
+    def _halve(self, rows: np.ndarray, tokens: list[np.ndarray], width: int, out: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Up to ``width / 2`` rounds on a fresh matrix; returns the rows that are not done.
+
+        Merged-away columns stay until then, as -1; ``after`` and ``before`` link the others.
+        """
+        side = 1 << (width.bit_length() + 1) // 2
+        width = -(-width // side) * side
+        n = np.array([len(t) for t in tokens])
+        ids = np.full((len(rows), width), -1, np.int32)
+        ids[np.arange(width) < n[:, None]] = np.concatenate(tokens)
+        rank = np.full((len(rows), width), NONE, np.int32)
+        rank[:, :-1] = self.pairs.rank(ids[:, :-1], ids[:, 1:])
+        after = np.tile(np.arange(1, width + 1, dtype=np.int32), (len(rows), 1))
+        after[np.arange(len(rows)), n - 1] = -1
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (len(rows), 1))
+        cut = rank.reshape(len(rows), -1, side)
+        low = cut.min(axis=2)
+        every, left = np.arange(len(rows)), []
+        for _ in range(max(1, width // 2)):
+            block = low[every].argmin(axis=1)  # the leftmost of equal ranks
+            new = low[every, block]
+            done = new == NONE
+            if done.any():
+                for i in every[done].tolist():
+                    out[rows[i]] = ids[i][ids[i] >= 0].astype("<u4").tobytes()
+                every, block, new = every[~done], block[~done], new[~done]
+                if not len(every):
+                    return rows[:0], left
+            at = block * side + cut[every, block].argmin(axis=1)
+            gone = after[every, at]
+            following, previous = after[every, gone], before[every, at]
+            ids[every, at], ids[every, gone] = new, -1
+            rank[every, gone] = NONE
+            after[every, at] = following
+            more, some = following >= 0, previous >= 0
+            before[every[more], following[more]] = at[more]
+            rank[every, at] = self.pairs.rank(new, np.where(more, ids[every, following], -1))
+            rank[every[some], previous[some]] = self.pairs.rank(ids[every[some], previous[some]], new[some])
+            for column in (at, gone, np.where(some, previous, at)):
+                low[every, column // side] = cut[every, column // side].min(axis=1)
+        return rows[every], [ids[i][ids[i] >= 0] for i in every]
 
     def encode_pretokens(self, pretokens: Iterable[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
@@ -165,8 +198,6 @@ class ByteBPE:
             b = s.encode()
             if (r := self.ranks.get(b)) is not None:
                 out[s] = r.to_bytes(4, "little")
-            elif len(b) > LONGEST:
-                out[s] = self.merge_long(b)
             else:
                 short.append((s, b))
         out.update(zip((s for s, _ in short), self.merge_rows([b for _, b in short]), strict=True))
@@ -183,7 +214,7 @@ class ByteBPE:
         lookup.update(found)
         out = [b"".join(map(lookup.__getitem__, c)) for c in cut]
         for p in new:
-            if len(p) > LONGEST:
+            if len(p) > KEPT:
                 del lookup[p]
         return out
 

@@ -13,7 +13,8 @@ powers of two that add up to it, and no padding is left.
 No row is shuffled: a hot source or group of copies has no effect, memory is bounded by a
 window's tokens, and a lost executor repeats its own partition alone, with the same result.
 
-Defined cases: a null or empty text is the end token alone; repeated rows are packed each;
+Defined cases: a null or empty text is the end token alone; a very long text is encoded whole,
+closes its window and fills sequences of its own but for its rest; repeated rows are packed each;
 equal lengths keep the input's order; extra columns are ignored; an empty table gives none.
 """
 
@@ -27,23 +28,33 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .token_count import byte_characters
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 @lru_cache(maxsize=4)
-def _encoder(vocabulary: str, pattern: str, special: str, special_id: int):
-    """The byte-level BPE of ``vocabulary`` (a .tiktoken file of ranks), one per worker.
+def _encoder(vocabulary: str, pattern: str):
+    """The byte-level BPE of ``vocabulary``, a tokenizer's .json file; one per worker.
 
-    The special string inside a text is its one special token, as the vocabulary's .json
-    form has it by default.
+    Vocabulary, order of the merges and special tokens are those of the file; a special string
+    inside a text is its one token, as the file's own library has it by default. The ids come from
+    another library that merges by the ids themselves, so the file's merges must be in the
+    order of the ids that they give; if not, this raises.
     """
-    import base64
+    import json
 
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={special: special_id})
+    with open(vocabulary, encoding="utf-8") as f:
+        file = json.load(f)
+    model, back = file["model"], byte_characters()
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if model["type"] != "BPE" or any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+        raise ValueError(f"{vocabulary}: no byte-level BPE whose merges follow its ids")
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def binary_parts(n: int) -> list[int]:
@@ -93,14 +104,15 @@ def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: floa
     return pieces
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, special: str = "<|endoftext|>", special_id: int = 50256, end_id: int = 1, capacity: int = 2048, window: int = 4096, window_tokens: int = 8_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 1, capacity: int = 2048, window: int = 4096, window_tokens: int = 8_000_000) -> DataFrame:
     """One row per piece, with its ids as little-endian unsigned 32-bit integers.
 
-    A window closes at ``window`` documents or ``window_tokens`` tokens.
+    ``vocabulary`` is a tokenizer's .json file, ``pattern`` what its byte-level pre-tokenizer splits
+    at. A window closes at ``window`` documents or ``window_tokens`` tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary, pattern, special, special_id)
+        encoder = _encoder(vocabulary, pattern)
         end = np.array([end_id], "<u4")
         base = TaskContext.get().partitionId() << 32
         ids: list[int] = []

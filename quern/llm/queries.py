@@ -50,7 +50,7 @@ def op3_pivot_distance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pretoken_pattern())
+    pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), pretoken_pattern())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -2,8 +2,10 @@
 repeated rows and clashing columns, and on an empty table."""
 
 import hashlib
+import heapq
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -68,23 +70,37 @@ def test_url_filter(spark):
 def test_packing(spark):
     import tokenizers
 
-    pieces = packing.pack_documents(docs(spark), queries.vocabulary("byte_bpe_50k.tiktoken"), queries.pretoken_pattern()).collect()
-    library = tokenizers.Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
-    want = Counter(tuple([*library.encode(t or "", add_special_tokens=False).ids, 1]) for t in [*TEXTS, TEXTS[0]])
-    spans, by_seq = {}, {}
+    path, pattern = queries.vocabulary("byte_bpe_50k.json"), queries.pretoken_pattern()
+    pieces = packing.pack_documents(docs(spark), path, pattern).collect()
+    library = tokenizers.Tokenizer.from_file(path)
+    want = {None if i == 2 else i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(TEXTS)}
+    copies, covered, by_seq = Counter(want) + Counter([0]), {i: np.zeros(len(t), int) for i, t in want.items()}, {}
     for p in pieces:
+        assert np.frombuffer(p.ids, "<u4").tolist() == want[p.doc_id][p.start : p.start + p.length]
+        assert p.doc_tokens == len(want[p.doc_id]) and p.length == len(p.ids) // 4 > 0
+        covered[p.doc_id][p.start : p.start + p.length] += 1
         by_seq.setdefault(p.sequence_id, []).append((p.offset, p.length))
-        spans.setdefault((p.doc_id, p.doc_tokens), []).append((p.start, np.frombuffer(p.ids, "<u4").tolist()))
+    assert all((c == copies[i]).all() for i, c in covered.items())  # each id of each document once
     for parts in by_seq.values():
         parts.sort()
         assert [o for o, _ in parts] == np.cumsum([0, *[n for _, n in parts[:-1]]]).tolist()
         used = sum(n for _, n in parts)
         assert used <= 2048 and used & (used - 1) == 0  # full or a power of two: no padding
-    total = sum(len(k) * n for k, n in want.items())
-    assert sum(p.length for p in pieces) == total
-    one = next(v for (i, _), v in spans.items() if i == 6)
-    assert tuple(x for _, ids in sorted(one) for x in ids) in want
-    assert packing.pack_documents(docs(spark, []), queries.vocabulary("byte_bpe_50k.tiktoken"), queries.pretoken_pattern()).count() == 0
+    assert packing.pack_documents(docs(spark, []), path, pattern).count() == 0
+
+
+def test_packing_takes_the_ids_of_the_json_file():
+    import pyarrow.parquet as pq
+    import tokenizers
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    texts = [*TEXTS, "<|endoftext|><|endoftext|> x", "\x00\u2028\u00a0 a\u0301 \U0001f468\u200d\U0001f469", "'S don't 12345 \t\t\n\n x", "<|endoftext", "ſ İ ß"]
+    known = Path("/root/testdata/sf0.01/documents.parquet")
+    texts += pq.read_table(known, columns=["text"]).column(0).to_pylist() if known.exists() else []
+    texts = [t or "" for t in texts]
+    encoder, library = packing._encoder(path, queries.pretoken_pattern()), tokenizers.Tokenizer.from_file(path)
+    for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encoder.encode(text, allowed_special="all") == e.ids
 
 
 def test_quality_learns_and_handles_odd_texts(spark):
@@ -215,6 +231,41 @@ def test_token_counts(spark):
     assert token_count.count_tokens(docs(spark, []), path).count() == 0
 
 
+def merge_by_heap(bpe, piece):
+    """The same merges one by one, by a heap of (rank, position) over linked tokens."""
+    ids = bpe.single[np.frombuffer(piece, np.uint8)].tolist()
+    size = len(ids)
+    after, before, gone = list(range(1, size + 1)), list(range(-1, size - 1)), bytearray(size)
+
+    def pair(i):
+        return bpe.ranks.get(bpe.tokens[ids[i]] + bpe.tokens[ids[after[i]]]) if after[i] < size else None
+
+    heap = [(r, i) for i in range(size) if (r := pair(i)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        if gone[i] or pair(i) != r:
+            continue
+        j = after[i]
+        ids[i], after[i], gone[j] = r, after[j], 1
+        if after[j] < size:
+            before[after[j]] = i
+        for k in (before[i], i):
+            if k >= 0 and (x := pair(k)) is not None:
+                heapq.heappush(heap, (x, k))
+    return np.array([t for t, g in zip(ids, gone) if not g], "<u4").tobytes()
+
+
+def test_matrices_of_any_width_merge_in_order():
+    bpe = byte_bpe.ByteBPE(queries.vocabulary("byte_bpe_multi_50k.tiktoken"), queries.pretoken_pattern())
+    r = np.random.default_rng(0)
+    letters = np.frombuffer(b"etaoinshrdlu", np.uint8)
+    pieces = [r.choice(letters, n).tobytes() for n in (2, 3, 127, 128, 129, 255, 256, 257, 300, 511, 513, 1000, 5000, 40_000)]
+    pieces += [b"a" * 1025, b"\xff" * 700, ("é" * 400).encode(), b"the" * 300, r.integers(0, 256, 3000, np.uint8).tobytes()]
+    assert bpe.merge_rows(pieces) == [merge_by_heap(bpe, p) for p in pieces]
+    assert bpe.merge_rows([]) == []
+
+
 def test_byte_bpe_round_trip(spark):
     import base64
 
@@ -224,7 +275,8 @@ def test_byte_bpe_round_trip(spark):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     library = tiktoken.Encoding("test", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    texts = [*TEXTS, "a" * 5000, "é" * 400 + " " * 700, "漢字😀 \x1c\x85"]
+    long = "".join(np.random.default_rng(1).choice(list("etaoinshrdlu"), 100_000))
+    texts = [*TEXTS, "a" * 5000, "é" * 400 + " " * 700, "漢字😀 \x1c\x85", long, long[:257], long[:5000] + " x", "ab" * 300 + " " + "ab" * 300]
     want = Counter()
     for i, t in [*enumerate(texts), (0, texts[0])]:
         ids = np.array(library.encode_ordinary(t or ""), "<u4").tobytes()
