@@ -97,23 +97,25 @@ OP7 = """
 WITH lines AS (
   SELECT doc_id, source, text, string_split(text, chr(10)) AS l FROM documents
 ), per_page AS (
-  SELECT DISTINCT coalesce(source, '') AS host, text,
+  SELECT coalesce(source, '') AS host,
          unnest(list_distinct(list_filter(list_transform(l, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x != ''))) AS line
   FROM lines
 ), hosts AS (
-  SELECT host, count(*) AS pages FROM (SELECT DISTINCT coalesce(source, '') AS host, text FROM documents) GROUP BY host
+  SELECT coalesce(source, '') AS host, count(*) AS pages FROM documents GROUP BY ALL
 ), bad AS (
   SELECT host, list(line) AS bad
-  FROM (SELECT host, line, count(*) AS c FROM per_page GROUP BY host, line HAVING count(*) >= 5) JOIN hosts USING (host)
+  FROM (SELECT host, line, count(*) AS c FROM per_page GROUP BY host, line HAVING count(*) >= 2) JOIN hosts USING (host)
   WHERE c::DOUBLE / pages > 0.05 GROUP BY host
 ), kept AS (
   SELECT doc_id, l, CASE WHEN bad IS NULL THEN l ELSE
            list_filter(l, lambda x: NOT list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))) END AS k
   FROM lines LEFT JOIN bad ON coalesce(lines.source, '') = bad.host
+), whole AS (
+  SELECT doc_id, l, CASE WHEN len(list_filter(k, lambda x: trim(x, ' ' || chr(9) || chr(13)) != '')) = 0 THEN l ELSE k END AS k FROM kept
 )
 SELECT doc_id, CASE WHEN l IS NULL THEN NULL ELSE coalesce(array_to_string(k, chr(10)), '') END AS text,
        coalesce(len(l), 0)::INT AS n_lines, coalesce(len(l) - len(k), 0)::INT AS dropped_lines
-FROM kept
+FROM whole
 """
 
 
