@@ -42,16 +42,20 @@ def scratch_table(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet to the shared scratch folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation, and the
-    planner knows the table's size from then on.
+    planner knows the table's size from then on. ``release`` deletes the table once all that
+    reads it has been written; what is left goes when the session's program ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quern-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark.sparkContext, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; the files go when the frame is garbage-collected."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def release(*tables: DataFrame | None) -> None:
+    """Delete scratch tables that nothing unwritten reads; other frames are left alone."""
+    for table in tables:
+        if path := getattr(table, "_scratch_path", None):
+            _drop(table.sparkSession.sparkContext, path)

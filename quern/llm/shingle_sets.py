@@ -1,22 +1,30 @@
 """Groups of documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-Two-bit links between 64-bit fingerprints find few of these pairs, and at the 16 bits that
+Links between fingerprints of two bits find few of these pairs, and at the 16 bits that
 would find them all, triangle bounds prune nothing; see the README for figures. So the
-dedup of the pipeline takes its candidates from min-hash bands and checks each exactly.
+dedup of the pipeline starts from the fingerprint links, takes its other candidates from min-hash
+bands and checks each pair exactly.
 
-1. Arrow UDF: hashes of the distinct shingles of the whole text, a 128-bit digest of that set
-   and ``BANDS`` keys of ``ROWS`` min-hashes (a pair at 0.8 shares none in 3 of a million cases).
+1. Arrow UDF: hashes of the distinct shingles of the whole text, a 128-bit digest of that set,
+   the SimHash fingerprint of all shingles and ``BANDS`` keys of ``ROWS`` min-hashes (a pair at
+   0.8 shares none in 3 of a million cases).
 2. Equal sets collapse to one node.
-3. In each of ``rounds`` rounds every node of a bucket (a band's key) is paired with two
+3. Nodes of equal fingerprints, and nodes of linked fingerprints, are checked by their sets, and
+   the links that hold join components.
+4. In each of ``rounds`` rounds every node of a bucket (a band's key) is paired with two
    nodes of the bucket drawn anew: rows grow with nodes, not with pairs. Pairs within one
    component go; the others are checked by their sets, and links that hold join components.
    Buckets of three or fewer nodes are covered whole; in larger ones later rounds draw from
    what the bucket's largest component does not hold, so a group of copies that is joined
    costs nothing more.
-4. What the draws left open is checked whole: in every bucket of more than three nodes that
+5. What the draws left open is checked whole: in every bucket of more than three nodes that
    still holds several components, each node outside the largest one meets all nodes of the
    bucket, block by block (``open_links``). So every pair that shares a bucket is either
    checked or already in one component; no pair of nodes is ever a row.
+
+Defined cases: texts without words (null, empty, blank) have the empty set and are one node; very
+long texts are taken whole, in pieces; repeated rows are one node; an empty table gives none; of
+the input only the columns named in the call are read.
 """
 
 from __future__ import annotations
@@ -28,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_table
+from .common import release, scratch_table
 
 BANDS, ROWS = 24, 4
 SEED = 42
@@ -39,21 +47,38 @@ _A = _r.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.ui
 _B = _r.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; fewer words are one shingle, none are none."""
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes of which ``ones`` have each bit set, highest bit first."""
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles, in pieces; fewer words are one shingle, none are none."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()  # bytes: both know ASCII alone
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < shingle:
-        return np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    parts, n = [], len(words) - shingle + 1
-    for a in range(0, n, CHUNK):
-        part = words[a : min(a + CHUNK, n) + shingle - 1]
+    if words and len(words) < shingle:
+        yield np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    for a in range(0, len(words) - shingle + 1, CHUNK):
+        part = words[a : min(a + CHUNK, len(words) - shingle + 1) + shingle - 1]
         found = zip(*(part[i:] for i in range(shingle)), strict=False)
-        parts.append(np.unique(np.array([xxh64_intdigest(b" ".join(s), SEED) for s in found], np.uint64)))
-    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+        yield np.array([xxh64_intdigest(b" ".join(s), SEED) for s in found], np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    parts = [np.unique(h) for h in shingle_hashes(text, shingle)]
+    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint64)
+
+
+def set_and_fingerprint(text: str | None, shingle: int) -> tuple[np.ndarray, int]:
+    parts, ones, n = [], np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
+        parts.append(np.unique(h))
+    whole = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint64)
+    return whole, majority(ones, n)
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -71,20 +96,21 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def signatures(shingle: int) -> Callable[[Column], Column]:
-    """Column function: struct of the set's digest (a, b) and band keys."""
+    """Column function: struct of the set's digest (a, b), the fingerprint and the band keys."""
 
-    @F.pandas_udf("a long, b long, keys array<long>")
+    @F.pandas_udf("a long, b long, fp long, keys array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
         for texts in batches:
-            digests, keys = [], []
+            digests, fps, keys = [], [], []
             for t in texts:
-                hashes = shingle_set(t, shingle)
+                hashes, fp = set_and_fingerprint(t, shingle)
                 digests.append(np.frombuffer(xxh3_128_digest(hashes.tobytes()), np.int64))
+                fps.append(fp)
                 keys.append(band_keys(hashes))
             d = np.array(digests, np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"a": d[:, 0], "b": d[:, 1], "keys": keys})
+            yield pd.DataFrame({"a": d[:, 0], "b": d[:, 1], "fp": np.array(fps, np.uint64).view(np.int64), "keys": keys})
 
     return sign
 
@@ -177,46 +203,62 @@ def open_links(placed: DataFrame, known: DataFrame, similarity: float, block_nod
     return rows.groupBy("band", "key", "part", "ask_part").applyInPandas(within, "u long, v long").distinct()
 
 
-def similar_groups(rows: DataFrame, connect: Callable[[DataFrame], DataFrame], row: str, text: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+def fingerprint_pairs(nodes: DataFrame, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, other): nodes of equal fingerprints with the least of them, and the least nodes of
+    fingerprints that ``close`` links; at most a row per node and one per link."""
+    fps = scratch_table(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = nodes.join(fps, "fp").filter("node != least").select("node", F.col("least").alias("other"))
+    pairs = close(fps.select("fp"))
+    linked = pairs.join(fps.select(F.col("fp").alias("u"), F.col("least").alias("node")), "u").join(fps.select(F.col("fp").alias("v"), F.col("least").alias("other")), "v")
+    found = scratch_table(equal.union(linked.select("node", "other")))
+    release(fps)
+    return found
+
+
+def similar_groups(rows: DataFrame, connect: Callable[[DataFrame], DataFrame], close: Callable[[DataFrame], DataFrame], row: str, text: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
     """(``row``, __group): the group of every row of ``rows`` (materialized: read twice), as the
     smallest ``row`` in it. ``row`` is a unique long; ``connect`` maps links (u > v) to
-    (u, v) with the least v of u's component."""
+    (u, v) with the least v of u's component, ``close`` fingerprints to links between them."""
     signed = scratch_table(rows.select(row, signatures(shingle)(F.col(text).cast("string")).alias("s")).select(row, "s.*"))
     # written, so that the join has no aggregate beside it and a hot set's rows can be split
-    nodes = scratch_table(signed.groupBy("a", "b").agg(F.min(row).alias("node")))
+    nodes = scratch_table(signed.groupBy("a", "b").agg(F.min(row).alias("node"), F.min_by("fp", row).alias("fp")))
     members = scratch_table(signed.select(row, "a", "b").join(nodes, ["a", "b"]).select(row, "node"))
     firsts = members.filter(F.col(row) == F.col("node")).select(row)
     keyed = signed.join(firsts, row, "left_semi").select(F.col(row).alias("node"), F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
     buckets = scratch_table(keyed.join(shared, ["band", "key"]))
-    texts = rows.join(buckets.select(F.col("node").alias(row)).distinct(), row, "left_semi")
+    first_pairs = fingerprint_pairs(nodes.select("node", "fp"), close)
+    release(signed, nodes)
+    ends = first_pairs.select(F.explode(F.array("node", "other")).alias("node"))
+    texts = rows.join(buckets.select("node").union(ends).select(F.col("node").alias(row)).distinct(), row, "left_semi")
     known = scratch_table(texts.select(F.col(row).alias("node"), sets(shingle)(F.col(text).cast("string")).alias("set")))
     left = known.select(F.col("node").alias("u"), F.col("set").alias("__x"))
     right = known.select(F.col("node").alias("v"), F.col("set").alias("__y"))
     size, other, both = F.size("__x"), F.size("__y"), F.size(F.array_intersect("__x", "__y"))
+    placed, roots = buckets.withColumn("comp", F.col("node")), None
 
     def held(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
         sized = pairs.join(left, "u").join(right, "v").filter(F.least(size, other) >= F.lit(similarity) * F.greatest(size, other))
         return scratch_table(sized.filter(both >= F.lit(similarity) * (size + other - both)).select("u", "v"))
 
-    def ordered(a: str, b: str) -> list[Column]:
-        return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
-
     def joined(more: DataFrame) -> None:
-        nonlocal placed, roots, found
-        found = more if found is None else found.union(more)
-        roots = connect(found)
+        """Components by all links so far: those before, as stars, and ``more``."""
+        nonlocal placed, roots
+        if more.isEmpty():
+            return release(more)
+        old, roots = roots, connect(more if roots is None else roots.union(more))
+        release(old, more)
         own = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        placed = scratch_table(buckets.join(own, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("comp")))
+        before, placed = placed, scratch_table(buckets.join(own, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("comp")))
+        release(before)
 
-    placed, roots, found = buckets.withColumn("comp", F.col("node")), None, None
+    joined(held(first_pairs))
+    release(first_pairs)
     for number in range(rounds):
-        more = held(star_pairs(placed, number).select(*ordered("node", "other")).distinct())
-        if not more.isEmpty():
-            joined(more)
-    more = scratch_table(open_links(placed, known, similarity))
-    if not more.isEmpty():
-        joined(more)
+        joined(held(star_pairs(placed, number)))
+    joined(scratch_table(open_links(placed, known, similarity)))
+    release(known, placed, buckets)
     if roots is None:
         return members.withColumnRenamed("node", "__group")
     own = roots.select(F.col("u").alias("node"), F.col("v").alias("__root"))

@@ -10,15 +10,18 @@
 4. In each shard the same rule recurses in numpy down to small blocks, which are compared
    exactly. A shard gives each fingerprint's link to the smallest one it reaches within the
    shard: at most one row per fingerprint, never all pairs of a group.
-5. Large-star/small-star rounds, each checkpointed, join the shards' links to components.
+   Shards that a bounded sample leaves too large get a tree of their own first.
+5. Large-star/small-star rounds, each written, join the shards' links to components.
 
 Defined cases: no words (null, empty or blank texts) give fingerprint zero, linked like any
-other; repeated rows share a fingerprint; a null doc_id takes its component's smallest
+other; very long texts are hashed whole, in pieces; extra columns are ignored by
+``near_duplicates``; repeated rows share a fingerprint; a null doc_id takes its component's smallest
 doc_id and counts for none (null if there is no other); an empty table gives none.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,14 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, scratch_table
-from .shingle_sets import similar_groups
+from .common import release, scratch_table
+from .shingle_sets import CHUNK, SEED, majority, similar_groups
 
-SEED = 42
-#: Shingles hashed at a time.
-CHUNK = 65_536
 #: Fingerprints compared all with all at a time.
 BLOCK = 512
+#: Points of a sample that a leaf of a tree stands for at least.
+LEAST = 32
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -51,7 +53,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
         part = words[a : min(a + CHUNK, n) + shingle - 1]
         digests = b"".join([xxh64_digest(b" ".join(s), SEED) for s in zip(*(part[i:] for i in range(shingle)), strict=False)])
         total += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return majority(total, n)
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = 3) -> DataFrame:
@@ -167,16 +169,19 @@ def link(points: np.ndarray, radius: int) -> np.ndarray:
 def links(fps: DataFrame, radius: int, shard_size: int = 8192, sample_size: int = 65_536) -> DataFrame:
     """(u, v) with u > v: links that connect all distinct ``fp`` within ``radius`` bits.
 
-    ``sample_size`` bounds what reaches the driver (8 bytes each); it only shapes the tree.
+    ``sample_size`` bounds what reaches the driver (8 bytes each); it only shapes the tree. Where
+    the sample is too thin for shards of ``shard_size``, shards that came out larger are divided by
+    trees of their own (``divided``).
     """
     n = fps.count()
     taken = fps.orderBy(F.xxhash64("fp")).limit(sample_size).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    root, _ = build_tree(taken, max(32, int(shard_size * len(taken) / max(n, 1))), radius)
+    leaf = max(LEAST, int(shard_size * len(taken) / max(n, 1)))
+    root, leaves = build_tree(taken, leaf, radius)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for leaf, points in descend(root, b["fp"].to_numpy(np.int64).view(np.uint64), radius):
-                yield pd.DataFrame({"shard": np.int32(leaf), "fp": points.view(np.int64)})
+            for shard, points in descend(root, b["fp"].to_numpy(np.int64).view(np.uint64), radius):
+                yield pd.DataFrame({"shard": np.int64(shard), "fp": points.view(np.int64)})
 
     def within(shard: pd.DataFrame) -> pd.DataFrame:
         points = np.unique(shard["fp"].to_numpy(np.int64).view(np.uint64))
@@ -185,35 +190,77 @@ def links(fps: DataFrame, radius: int, shard_size: int = 8192, sample_size: int
         u, v = points[moved].view(np.int64), points[labels[moved]].view(np.int64)
         return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
-    shards = fps.select("fp").mapInPandas(assign, "shard int, fp long")
+    shards = fps.select("fp").mapInPandas(assign, "shard long, fp long")
+    if leaf * n > shard_size * max(1, len(taken)):
+        shards = divided(scratch_table(shards), leaves, radius, shard_size, sample_size)
     return shards.groupBy("shard").applyInPandas(within, "u long, v long")
 
 
+def divided(shards: DataFrame, leaves: int, radius: int, shard_size: int, sample_size: int) -> DataFrame:
+    """``shards`` (shard, fp; materialized) with those over ``shard_size`` rows cut again.
+
+    Each gets a tree over about ``sample_size / 16`` of its own rows, built in a task. The trees
+    together are at most ``leaves`` times a small tree, and so is what is broadcast. The same band
+    rule holds on this level, so no pair within the radius is parted.
+    """
+    spark, most = shards.sparkSession, max(2 * LEAST, sample_size // 16)
+    sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > shard_size)
+    sampled = shards.join(F.broadcast(sizes), "shard")  # at most a row per leaf
+    sampled = sampled.filter(F.pmod(F.xxhash64(F.lit("tree"), "fp"), F.lit(1 << 30)) < F.lit(float(most) * (1 << 30)) / F.col("n"))
+
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.assign(h=group["fp"].to_numpy(np.int64) * np.int64(0x5851F42D4C957F2D)).sort_values("h")
+        points = group["fp"].to_numpy(np.int64).view(np.uint64)
+        tree, _ = build_tree(points, max(LEAST, int(shard_size * len(points) / group["n"].iloc[0])), radius)
+        return pd.DataFrame({"shard": group["shard"].iloc[:1].to_numpy(), "tree": [pickle.dumps(tree)]})
+
+    trees = {r["shard"]: pickle.loads(r["tree"]) for r in sampled.groupBy("shard").applyInPandas(grow, "shard long, tree binary").collect()}
+    sent = spark.sparkContext.broadcast(trees)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for shard, group in b.groupby("shard", sort=False):
+                if shard not in sent.value:
+                    yield group
+                    continue
+                for leaf, points in descend(sent.value[shard], group["fp"].to_numpy(np.int64).view(np.uint64), radius):
+                    yield pd.DataFrame({"shard": np.int64(leaves + (shard << 24) + leaf), "fp": points.view(np.int64)})
+
+    return shards.mapInPandas(assign, "shard long, fp long")
+
+
 def connect(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(u, v): each node u of ``edges`` (u > v) that is not the least of its component, with
-    the least v of it, by alternating large-star and small-star rounds."""
+    the least v of it, by alternating large-star and small-star rounds.
+
+    The number of rounds grows with the logarithm of the largest component; past
+    ``most_rounds`` this raises, it never returns components that have not settled. All tables of
+    a round are written, so its joins have scans on both sides and adaptive execution can split
+    the rows of a large component's hub.
+    """
 
     def stars(pairs: DataFrame) -> DataFrame:
-        return pairs.filter("u != v").distinct()
+        return scratch_table(pairs.filter("u != v").distinct())
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
-    edges = checkpoint(stars(edges))
+    edges = stars(edges)
     last = state(edges)
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if last[0] else 0):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stars(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = checkpoint(stars(small))
-        now = state(edges)
+        least = scratch_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = stars(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        low = scratch_table(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = stars(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))))
+        release(edges, least, large, low)
+        edges, now = small, state(small)
         if now == last:
             return edges
         last = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    if last[0]:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return edges
 
 
 def with_components(rows: DataFrame, radius: int = 2, fp: str = "fp", doc_id: str = "doc_id", shard_size: int = 8192, sample_size: int = 65_536) -> DataFrame:
@@ -225,9 +272,10 @@ def with_components(rows: DataFrame, radius: int = 2, fp: str = "fp", doc_id: st
     fps = scratch_table(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first")))
     roots = connect(links(fps, radius, shard_size, sample_size))
     # nodes that are the least of a component of several are not in u; they join as themselves
-    grouped = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("v", "fp"))
-    of_root = grouped.groupBy("root").agg(F.min("first").alias("__component"))
+    grouped = scratch_table(fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("v", "fp")))
+    of_root = scratch_table(grouped.groupBy("root").agg(F.min("first").alias("__component")))
     mapping = scratch_table(grouped.join(of_root, "root").select(F.col("fp").alias("__fp"), "__component"))
+    release(fps, roots, grouped, of_root)
     joined = rows.join(mapping, rows[fp] == F.col("__fp"))
     return joined.withColumn("component_id", F.col("__component")).drop("__fp", "__component")
 
@@ -244,16 +292,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return with_components(rows, radius).select("doc_id", hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """The columns of ``docs``, one document of each group of near copies: its smallest doc_id.
 
-    Near copies share ``similarity`` of their word shingles, or are linked by others that do;
-    see ``shingle_sets``. Rows without a doc_id come after all others of their group; texts
-    without words are copies of each other; of repeated rows one stays.
+    Near copies share ``similarity`` of their word shingles, or are linked by others that do.
+    Fingerprints within ``radius`` bits, found by vantage-point trees as above, are the first
+    candidates; since most pairs of that similarity lie further apart, min-hash bands give the
+    others, and every link is checked on the shingle sets (see ``shingle_sets``).
+
+    Rows without a doc_id come after all others of their group; texts without words, null ones
+    among them, are copies of each other; very long texts are taken whole; of repeated rows and
+    equal ids one stays; extra columns pass through; an empty table gives none.
     """
     names = docs.columns
     rows = scratch_table(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = similar_groups(rows, connect, "__row", "text", shingle, similarity)
+    groups = similar_groups(rows, connect, lambda fps: links(fps, radius), "__row", "text", shingle, similarity)
     ids = rows.select("__row", F.col("doc_id").alias("__id")).join(groups, "__row")
     kept = ids.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(*names)

@@ -74,7 +74,7 @@ def test_packing(spark):
     pieces = packing.pack_documents(docs(spark), path, pattern).collect()
     library = tokenizers.Tokenizer.from_file(path)
     want = {None if i == 2 else i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(TEXTS)}
-    copies, covered, by_seq = Counter(want) + Counter([0]), {i: np.zeros(len(t), int) for i, t in want.items()}, {}
+    copies, covered, by_seq = Counter([*want, 0]), {i: np.zeros(len(t), int) for i, t in want.items()}, {}
     for p in pieces:
         assert np.frombuffer(p.ids, "<u4").tolist() == want[p.doc_id][p.start : p.start + p.length]
         assert p.doc_tokens == len(want[p.doc_id]) and p.length == len(p.ids) // 4 > 0
@@ -116,20 +116,49 @@ def test_quality_learns_and_handles_odd_texts(spark):
     assert quality.keep_good(docs(spark, []), labels).columns == df.columns
 
 
-def test_line_dedup(spark):
-    texts = [f"menu \nunique {i}\n\nmenu" for i in range(20)] + ["plain\nmenu", None, "", "menu"]
-    df = spark.createDataFrame([(i, t, "s" if i < 20 else None, 1) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_lines int")
-    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(df, F.col("source")).collect()}
-    assert all(got[i].text == f"unique {i}\n" and (got[i].n_lines, got[i].dropped_lines) == (4, 2) for i in range(20))
-    assert [got[i].text for i in (20, 21, 22, 23)] == ["plain\nmenu", None, "", "menu"]
+def plain_lines(rows, max_ratio=0.05):
+    """(doc, text, host) -> {doc: (text, lines, dropped lines)} by counting pages."""
+    pages, seen, out = Counter(h or "" for _, _, h in rows), Counter(), {}
+    for _, text, host in rows:
+        for line in {x.strip(" \t\r") for x in (text or "").split("\n")} - {""}:
+            seen[host or "", line] += 1
+
+    def stays(host, line):
+        n = seen[host, line]
+        return not line or n < 2 or n / pages[host] <= max_ratio
+
+    for i, text, host in rows:
+        lines = [] if text is None else text.split("\n")
+        kept = [x for x in lines if stays(host or "", x.strip(" \t\r"))]
+        if not any(x.strip(" \t\r") for x in kept):
+            kept = lines
+        out[i] = (None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept))
+    return out
+
+
+def test_line_dedup_matches_brute_force(spark):
+    r = np.random.default_rng(6)
+    texts = [f"menu \nunique {i}\n\nmenu" for i in range(20)] + ["plain\nmenu", None, "", "menu", " \t\n\r\n", LONG, "x" * 100_000 + "\nmenu"]
+    rows = [(i, t, "s" if i < 20 else None) for i, t in enumerate(texts)]
+    rows += [(100 + i, "\n".join(f"line {r.integers(0, 60)}" + " " * r.integers(0, 2) for _ in range(8)), f"h{i % 3}") for i in range(90)]
+    rows += [(300 + i, "a copied page\nof two lines", "h0") for i in range(30)]  # a third of its host
+    rows += [(400 + i, t, "few") for i, t in enumerate(["home\none", "home\ntwo", "home\nthree", "home"])] + [(500, "alone\non its host", "single")]
+    df = spark.createDataFrame([(*row, 7, row[0], "z", 1) for row in rows], "doc_id long, text string, source string, n_lines int, dropped_lines long, host string, __text int")
+    found = line_dedup.drop_boilerplate(df, F.col("source"))
+    assert found.columns == [*df.columns, "n_lines_", "dropped_lines_"]
+    got = {r.doc_id: r for r in found.collect()}
+    want = plain_lines(rows)
+    assert {i: (r.text, r.n_lines_, r.dropped_lines_) for i, r in got.items()} == want
+    assert all((r.n_lines, r.dropped_lines, r.host, r["__text"]) == (7, i, "z", 1) for i, r in got.items())
+    assert all(want[i][0] == f"unique {i}\n" for i in range(20)) and want[300] == ("a copied page\nof two lines", 2, 0)
+    assert [want[i][0] for i in (400, 401, 402, 403, 500)] == ["one", "two", "three", "home", "alone\non its host"]
+    assert any(d for _, _, d in want.values()) and sum(i >= 100 and i < 190 and d > 0 for i, (_, _, d) in want.items()) > 20
+    assert line_dedup.drop_boilerplate(df, F.col("source"), counts=False).columns == df.columns
     assert line_dedup.drop_boilerplate(df.limit(0), F.col("source")).count() == 0
-
-
-def test_copies_of_a_page_count_once(spark):
-    texts = ["news\nof the day"] * 40 + [f"menu\nunique {i}" for i in range(40)] + [None] * 3
-    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df, F.col("source")).collect()}
-    assert [got[i] for i in range(83)] == texts[:40] + [f"unique {i}" for i in range(40)] + [None] * 3
+    twice = line_dedup.drop_boilerplate(df.union(df), F.col("source"), counts=False)
+    assert twice.count() == 2 * len(rows)
+    bare = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df, F.col("source"), keep_whole=False, counts=False).collect()}
+    assert bare[300] == bare[403] == "" and bare[400] == "one"
 
 
 def plain_fingerprint(t):
@@ -199,14 +228,21 @@ def test_blocks_of_a_bucket_join_all_that_is_similar(spark):
     assert shingle_sets.open_links(one, known, 0.8).count() == shingle_sets.open_links(placed.limit(0), known, 0.8).count() == 0
 
 
-def test_simhash_links_match_brute_force(spark):
+@pytest.mark.parametrize(("shard_size", "sample_size"), [(8192, 65_536), (200, 500), (50, 320)])
+def test_simhash_links_match_brute_force(spark, monkeypatch, shard_size, sample_size):
     r = np.random.default_rng(1)
     points = [r.integers(0, 2**63, 600).astype(np.uint64)]
     for _ in range(6):
         points.append(points[-1][:500] ^ (np.uint64(1) << r.integers(0, 64, 500).astype(np.uint64)))
     p = np.unique(np.concatenate(points))
     fps = spark.createDataFrame([(int(x),) for x in p.view(np.int64)], "fp long")
-    roots = dict(values(simhash.connect(simhash.links(fps, 2, shard_size=200, sample_size=500)), "u", "v"))
+    made, divide = [], simhash.divided
+    monkeypatch.setattr(simhash, "divided", lambda *a: made.append(divide(*a)) or made[-1])
+    roots = dict(values(simhash.connect(simhash.links(fps, 2, shard_size, sample_size)), "u", "v"))
+    assert len(made) == (shard_size < 8192)
+    if made:  # every point is somewhere, and no shard is far too large
+        sizes = made[0].groupBy("shard").count()
+        assert made[0].select("fp").distinct().count() == len(p) and max(r[1] for r in sizes.collect()) < 6 * shard_size
     near, labels = np.bitwise_count(p[:, None] ^ p[None, :]) <= 2, np.arange(len(p))
     while True:
         low = np.where(near, labels[None, :], len(p)).min(1)

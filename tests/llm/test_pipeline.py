@@ -42,19 +42,19 @@ def plain_quality(rows, labels):
 
 
 def plain_lines(rows):
-    pages, seen, out = defaultdict(set), defaultdict(set), []
-    for _, text, _, source, _ in rows:
-        pages[source or ""].add(text)
-        for line in (text or "").split("\n"):
-            seen[source or "", line.strip(" \t\r")].add(text)
+    pages, seen, out = Counter(row[3] or "" for row in rows), Counter(), []
+    for row in rows:
+        for line in {x.strip(" \t\r") for x in (row[1] or "").split("\n")} - {""}:
+            seen[row[3] or "", line] += 1
 
     def stays(host, line):
-        n = len(seen[host, line])
-        return not line or n < 5 or n / len(pages[host]) <= 0.05
+        n = seen[host, line]
+        return not line or n < 2 or n / pages[host] <= 0.05
 
-    for i, text, lang, source, _ in rows:
+    for i, text, lang, source, *_ in rows:
         if text is not None:
-            text = "\n".join(x for x in text.split("\n") if stays(source or "", x.strip(" \t\r")))
+            kept = [x for x in text.split("\n") if stays(source or "", x.strip(" \t\r"))]
+            text = "\n".join(kept) if any(x.strip(" \t\r") for x in kept) else text
         out.append((i, text, lang, source, None if text is None else len(text)))
     return out
 
