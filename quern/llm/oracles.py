@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-OP2 = """
+OP2 = r"""
 WITH rows AS (
   SELECT page_id, url, strpos(url, '://') AS p FROM pages
 ), cut AS (
@@ -14,18 +14,20 @@ WITH rows AS (
   SELECT doc_id AS page_id,
          max(CASE WHEN coalesce(quality = 0, false) OR coalesce(toxic = 1, false) THEN 1 ELSE 0 END) AS bad
   FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id
+), sites AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS host FROM parsed
 ), counted AS (
   SELECT host, coalesce(sum(bad), 0)::DOUBLE AS bad, count(bad)::DOUBLE AS n
-  FROM parsed LEFT JOIN outcomes USING (page_id) GROUP BY host
+  FROM sites LEFT JOIN outcomes USING (page_id) GROUP BY host
 ), labels_of AS (
-  SELECT *, string_split(host, '.') AS l,
+  SELECT *, string_split(host, '.') AS l, regexp_matches(host, '^\[|^[0-9]{1,3}(\.[0-9]{1,3}){3}$') AS alone,
          list_contains(['co.uk','org.uk','ac.uk','com.au','co.jp','com.br','co.nz','co.in'],
                        array_to_string(string_split(host, '.')[-2:], '.')) AS two
   FROM counted
 ), hosts AS (
   SELECT host, bad, n,
-         CASE WHEN two THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
-         CASE WHEN two THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix
+         CASE WHEN alone THEN host WHEN two THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+         CASE WHEN alone THEN host WHEN two THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix
   FROM labels_of
 ), domains AS (
   SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY domain, suffix
@@ -71,7 +73,8 @@ WITH rows AS (
   GROUP BY host, path
 )
 SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(verdict, CASE WHEN regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '')
+                                   IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parsed LEFT JOIN fitted USING (host, path)
 """
 

@@ -4,13 +4,17 @@ A document is a bag of passages of ``PASSAGE`` words. Every passage of the whole
 encoded (hashed byte trigrams and character statistics, then a learned layer); gated
 attention ``softmax(w . (tanh(V h) * sigmoid(U h)))`` weighs the passages, and the weighted
 representation gives the score. Weights of all layers are learned together from document
-labels alone, on at most ``sample_docs`` labelled documents (those of least hashed id), on
-the driver; scoring is one pass over the documents, without a shuffle.
+labels alone, on at most ``sample_docs`` labelled documents (those of least hashed id) and
+``train_passages`` passages of each, spread over the whole text; their features are made in tasks, so
+what reaches the driver is bounded (1 kB a passage). Scoring is one pass over the documents and
+all of their passages, without a shuffle.
 
 Inputs of a score are the text's bytes and nothing else. Defined cases: a null, empty or
-blank text is one passage without words; repeated label rows count as their largest label,
+blank text is one passage without words; a very long text is read whole, in segments of about
+``GROUP`` bytes that are cut between passages; repeated label rows count as their largest label,
 repeated documents in the sample once; null labels and ids are not learned from; without
-any label every score is 0.5; held_out is false for a null doc_id.
+any label every score is 0.5; held_out is false for a null doc_id; an empty table gives none; extra
+columns are ignored by ``score_documents`` and pass through ``keep_good``.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ TRIGRAMS = 512
 STATS = 8
 #: Passages encoded at a time, and bytes of text in a group.
 STEP, GROUP = 2048, 1_000_000
+#: Passages of a training document that are learned from at most.
+TRAIN_PASSAGES = 32
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -96,6 +102,50 @@ def groups(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
         yield group
 
 
+def segments(text: bytes, most: int = GROUP) -> Iterator[bytes]:
+    """The text in pieces of whole passages, of about ``most`` bytes unless a passage is longer."""
+    at, size = 0, most
+    while len(text) - at > size:
+        white = _WHITE[np.frombuffer(text, np.uint8, size, at)]
+        begins = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
+        n = (len(begins) - 1) // PASSAGE * PASSAGE  # the last word may go on
+        if n <= 0:
+            size *= 2
+            continue
+        cut = at + int(begins[n])
+        yield text[at : cut - 1]  # without the white space that stands between texts anyway
+        at, size = cut, most
+    yield text[at:]
+
+
+def bags_of(texts: Iterable[bytes]) -> Iterator[tuple[Bags, np.ndarray]]:
+    """Bags of bounded size, and the number of the text that each passage is of."""
+    owned = [(i, s) for i, t in enumerate(texts) for s in segments(t)]
+    at = 0
+    for group in groups(s for _, s in owned):
+        bags = Bags.of(group)
+        yield bags, np.array([i for i, _ in owned[at : at + len(group)]])[bags.doc]
+        at += len(group)
+
+
+def some_features(text: bytes, most: int) -> np.ndarray:
+    """Features of at most ``most`` passages, spread evenly over the whole text."""
+    parts = [bags.features(a, min(a + STEP, len(bags.doc)))[keep] for bags, a, keep in _spread(text, most)]
+    return np.concatenate(parts).astype(np.float16)
+
+
+def _spread(text: bytes, most: int) -> Iterator[tuple[Bags, int, np.ndarray]]:
+    total = sum(len(bags.doc) for bags, _ in bags_of([text]))
+    chosen = np.unique(np.linspace(0, total - 1, min(most, total)).astype(np.int64))
+    first = 0
+    for bags, _ in bags_of([text]):
+        for a in range(0, len(bags.doc), STEP):
+            here = chosen[(chosen >= first + a) & (chosen < first + min(a + STEP, len(bags.doc)))]
+            if len(here):
+                yield bags, a, here - first - a
+        first += len(bags.doc)
+
+
 @dataclass
 class Model:
     """Encoder W, b; gates V, U, w; scorer c, d."""
@@ -138,28 +188,26 @@ class Model:
         dh = (a[:, None] * dz + d1 @ p["V"].T + d2 @ p["U"].T) * (1 - h * h)
         return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ d1, "U": h.T @ d2, "w": (g1 * g2).T @ de, "c": z.T @ ds, "d": ds.sum(0)}
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 1000, batch: int = 64, rate: float = 2e-3, decay: float = 1e-4) -> Model:
-        """About ``steps`` minibatches, however many documents there are."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, most: int = TRAIN_PASSAGES, **how) -> Model:
+        return self.fit_features([some_features(t, most) for t in texts], labels, **how)
+
+    def fit_features(self, found: list[np.ndarray], labels: np.ndarray, steps: int = 1000, batch: int = 64, rate: float = 2e-3, decay: float = 1e-4) -> Model:
+        """About ``steps`` minibatches, however many documents there are; ``found`` has the
+        features of each document's passages."""
         self.start()
-        epochs = max(1, round(steps * batch / max(batch, len(texts))))
-        parts, sizes = [], []
-        for group in groups(texts):  # the arrays that cut bytes into passages are several times the text
-            bags = Bags.of(group)
-            parts += [bags.features(a, min(a + STEP, len(bags.doc))) for a in range(0, len(bags.doc), STEP)]
-            sizes.append(np.bincount(bags.doc, minlength=len(group)))
-        x, edges = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        del parts
+        epochs = max(1, round(steps * batch / max(batch, len(found))))
+        x, edges = np.concatenate(found), np.concatenate([[0], np.cumsum([len(f) for f in found])])
         r, t = np.random.default_rng(self.seed), 0
         m, v = ({k: np.zeros_like(g) for k, g in self.p.items()} for _ in range(2))
         for epoch in range(epochs):
-            order = r.permutation(len(texts))
+            order = r.permutation(len(found))
             step = rate * (1 - epoch / epochs)
             for i in range(0, len(order), batch):
                 docs = order[i : i + batch]
                 rows = np.concatenate([np.arange(edges[d], edges[d + 1]) for d in docs])
                 own = np.repeat(np.arange(len(docs)), [edges[d + 1] - edges[d] for d in docs])
                 t += 1
-                for k, g in self.gradients(x[rows], own, labels[docs]).items():
+                for k, g in self.gradients(x[rows].astype(np.float32), own, labels[docs]).items():
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                     self.p[k] = (1 - decay * (k in "WVU")) * self.p[k] - step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-7)
         return self
@@ -167,10 +215,14 @@ class Model:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not self.p:
             return np.full(len(texts), 0.5)
-        bags = Bags.of(texts)
-        parts = [self.passages(bags.features(a, min(a + STEP, len(bags.doc)))) for a in range(0, len(bags.doc), STEP)]
-        h, e = np.concatenate([q[0] for q in parts]), np.concatenate([q[3] for q in parts])
-        return self.bags(h, e, bags.doc)[3].astype(np.float64)
+        h, e, doc = [], [], []
+        for bags, owner in bags_of(texts):
+            for a in range(0, len(bags.doc), STEP):
+                of, _, _, logit = self.passages(bags.features(a, min(a + STEP, len(bags.doc))))
+                h.append(of)
+                e.append(logit)
+            doc.append(owner)
+        return self.bags(np.concatenate(h), np.concatenate(e), np.concatenate(doc))[3].astype(np.float64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -178,20 +230,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, label: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, label: str = "quality", train_passages: int = TRAIN_PASSAGES) -> Model:
     """The model learned from at most ``sample_docs`` labelled documents that are not held out.
 
-    The ids are chosen from the labels first, so only chosen texts leave the scan.
+    The ids are chosen from the labels first, so only chosen texts leave the scan. Of rows that
+    repeat an id the smallest text counts.
     """
+
+    @F.arrow_udf("binary")
+    def featured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([some_features(t.as_py().encode(), train_passages).tobytes() for t in texts], pa.binary())
+
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
-    found = sorted(rows.collect())  # at most sample_docs rows
+    found = sorted(rows.select("doc_id", "label", featured(F.col("text")).alias("x")).collect())  # at most sample_docs rows
     if not found:
         return Model()
-    return Model().fit([r["text"].encode() for r in found], np.array([min(1, max(0, r["label"])) for r in found], np.float32))
+    features = [np.frombuffer(r["x"], np.float16).reshape(-1, TRIGRAMS + STATS) for r in found]
+    return Model().fit_features(features, np.array([min(1, max(0, r["label"])) for r in found], np.float32))
 
 
 def with_score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:

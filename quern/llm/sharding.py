@@ -8,8 +8,9 @@ new top-level child only takes rows. Everything is JVM-side expressions: no shuf
 needed to place a row.
 
 Defined cases: a null key hashes as the empty string (all such rows share one shard);
-equal keys always share a shard; a null text has size 1 and the CRC of no bytes, 0; other
-columns of the input are ignored, whatever their names; an empty table gives an empty result.
+equal keys always share a shard; repeated rows get a slot each; a null text has size 1 and the CRC
+of no bytes, 0; a very long text is read whole, for its size and CRC; other columns of the input
+are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -92,24 +93,24 @@ def place(df: DataFrame, key: Column, topology: Topology, out: str = "shard") ->
     return df.withColumn(out, switch(F.col(region), by_region).cast("int")).drop(region, rack)
 
 
-def number_slots(df: DataFrame, shard: str, order: list[str], hex_digits: int = 3) -> DataFrame:
+def number_slots(df: DataFrame, shard: str, row: str, buckets: int = 4096) -> DataFrame:
     """Add ``slot``: gapless from 0 within each shard, without bringing a shard to one task.
 
-    Rows fall into ``16 ** hex_digits`` hash buckets per shard; the counts of the buckets
-    (a table of that fixed size times the shards) give each bucket's first slot, and a
-    window numbers the rows of one bucket. ``df`` should be materialized: it is read twice.
+    ``row`` is a number of each row's own, so rows that are equal otherwise part too. Rows fall into
+    ``buckets`` hash buckets per shard; the counts of the buckets (a table of that fixed size
+    times the shards) give each bucket's first slot, and a window numbers the rows of one
+    bucket. ``df`` should be materialized: it is read twice.
     """
-    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order])
-    df = df.withColumn("__bucket", F.conv(F.substring(F.md5(key.cast("binary")), 1, hex_digits), 16, 10).cast("int"))
+    df = df.withColumn("__bucket", F.pmod(F.xxhash64(row), F.lit(buckets)).cast("int"))
     counts = df.groupBy(shard, "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(shard, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    within = Window.partitionBy(shard, "__bucket").orderBy(*order)
+    within = Window.partitionBy(shard, "__bucket").orderBy(row)
     return (
         df.withColumn("__i", F.row_number().over(within))
-        .join(F.broadcast(first), [shard, "__bucket"])  # at most shards * 16 ** hex_digits rows
+        .join(F.broadcast(first), [shard, "__bucket"])  # at most shards * buckets rows
         .withColumn("slot", F.col("__first") + F.col("__i") - F.lit(1))
-        .drop("__bucket", "__i", "__first", "__n")
+        .drop("__bucket", "__i", "__first")
     )
 
 
@@ -126,7 +127,7 @@ def shard_documents(docs: DataFrame, topology: Topology) -> DataFrame:
     )
     rows = place(rows, F.col("doc_id"), topology, "shard")
     rows = place(rows, F.col("doc_id"), topology.grow(), "grown_shard")
-    rows = number_slots(scratch_table(rows), "shard", ["doc_id", "text_crc32", "size"])
+    rows = number_slots(scratch_table(rows.withColumn("__row", F.monotonically_increasing_id())), "shard", "__row")
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard"
     )

@@ -3,14 +3,18 @@
 Labelled page outcomes (1 = bad) are counted per host and shrunk down the hierarchy
 all pages -> suffix -> registered domain -> host: the posterior mean of a node is the prior
 mean of its children. The strength of each level's beta prior comes from the data, by the
-beta-binomial moment estimate of the spread of the nodes about their parents' means. A url
+beta-binomial moment estimate of the spread of the nodes about their parents' means, held
+between ``least`` and ``most`` (0.001 and 0.5: a prior weighs as much as 999 pages at most and as one
+at least, so that few or unanimous nodes give no boundless or empty prior). A url
 without a rule is blocked if the lower bound of its host's posterior bad rate,
 ``mean - z * sd``, exceeds ``max_bad``: a host with few outcomes stays near its domain's rate
 and is not blocked by one bad page.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path:
-from there up to ``?``, ``#`` or the end. Suffix: the last label of a host, or the last two if
-they are in ``two_label_suffixes``; registered domain: one label more. Defined cases: a url
+from there up to ``?``, ``#`` or the end. In the hierarchy a host stands without user, port and
+final dots. Suffix: its last two or three labels if they are in the list of ``suffixes`` (an input
+table or a tuple), else the last one; registered domain: one label more; an IP address is its own
+domain and suffix. Defined cases: a very long url is taken whole; a url
 that is null or has no ``://`` has empty host and path and fits no rule; pages without an
 outcome count for nothing; repeated outcomes of a page count once, as bad if any is; an
 outcome that is null is none; pages with a null id have no outcome; repeated pages count each;
@@ -40,8 +44,8 @@ class Rule:
         return self.host + self.path
 
 
-#: Suffixes of two labels under which domains are registered; a parameter of the operator.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+#: Suffixes of several labels under which domains are registered, where no table of them is given.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 
 
 def url_host(url: Column) -> Column:
@@ -55,14 +59,28 @@ def url_path(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise(F.lit(""))
 
 
-def suffix_of(host: Column, two_label_suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    last_two = F.substring_index(host, ".", -2)
-    return F.when(last_two.isin(*two_label_suffixes), last_two).otherwise(F.substring_index(host, ".", -1))
+def site_of(host: Column) -> Column:
+    """The host without user, port and final dots: what reputation is of."""
+    host = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    return F.regexp_replace(host, "\\.+$", "")
 
 
-def domain_of(host: Column, two_label_suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    last_two = F.substring_index(host, ".", -2)
-    return F.when(last_two.isin(*two_label_suffixes), F.substring_index(host, ".", -3)).otherwise(last_two)
+def is_address(site: Column) -> Column:
+    return site.rlike(r"^\[|^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+
+
+def with_domain(sites: DataFrame, suffixes: DataFrame | tuple[str, ...] = SUFFIXES, host: str = "host") -> DataFrame:
+    """``sites`` with ``suffix`` and ``domain``. Whether the list is broadcast is the planner's choice."""
+    if not isinstance(suffixes, DataFrame):
+        suffixes = sites.sparkSession.createDataFrame([(s,) for s in suffixes], "suffix string")
+    listed = suffixes.select(F.col(suffixes.columns[0]).alias("__s")).distinct()
+    of = {n: F.substring_index(F.col(host), ".", -n) for n in (1, 2, 3, 4)}
+    for n in (2, 3):
+        sites = sites.join(listed.withColumnRenamed("__s", f"__s{n}"), of[n] == F.col(f"__s{n}"), "left")
+    alone, three, two = is_address(F.col(host)), F.col("__s3").isNotNull(), F.col("__s2").isNotNull()
+    suffix = F.when(alone, F.col(host)).when(three, of[3]).when(two, of[2]).otherwise(of[1])
+    domain = F.when(alone, F.col(host)).when(three, of[4]).when(two, of[3]).otherwise(of[2])
+    return sites.withColumns({"suffix": suffix, "domain": domain}).drop("__s2", "__s3")
 
 
 def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -90,16 +108,16 @@ def _strength(nodes: DataFrame, least: float = 1e-3, most: float = 0.5) -> float
     return 1.0 / min(max(rho, least), most) - 1.0
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, two_label_suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES, z: float = 1.645) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, suffixes: DataFrame | tuple[str, ...] = SUFFIXES, z: float = 1.645) -> DataFrame:
     """(host, lower): the lower posterior bound of the bad rate of every host of ``pages``.
 
-    ``pages`` has page_id and host, ``outcomes`` page_id and bad. The join of pages with
-    outcomes is the only one on page scale and is on a unique key; a hot host is one row per
+    ``pages`` has page_id and host (see ``site_of``), ``outcomes`` page_id and bad. The join of pages
+    with outcomes is the only one on page scale and is on a unique key; a hot host is one row per
     task after the partial aggregation. All else runs on one row per host or less.
     """
     outcomes = outcomes.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     hosts = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"), F.count("bad").cast("double").alias("n"))
-    hosts = scratch_table(hosts.withColumns({"domain": domain_of(F.col("host"), two_label_suffixes), "suffix": suffix_of(F.col("host"), two_label_suffixes)}))
+    hosts = scratch_table(with_domain(hosts, suffixes))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     bad, n = suffixes.agg(F.sum("bad"), F.sum("n")).first()
@@ -116,16 +134,16 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, two_label_suffixes: t
     return host_post.select("host", (F.col("mean") - F.lit(z) * F.sqrt("variance")).alias("lower"))
 
 
-def judge_pages(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], max_bad: float = 0.5, z: float = 1.645, two_label_suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+def judge_pages(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], max_bad: float = 0.5, z: float = 1.645, suffixes: DataFrame | tuple[str, ...] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages`` (page_id, url).
 
     Only hosts over the bound are joined back; that side is written first, so the planner
     broadcasts it if it is small and otherwise joins by host with skewed hosts split.
     """
     rows = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    reputation = host_reputation(rows, outcomes, two_label_suffixes, z)
+    reputation = host_reputation(rows.select("page_id", site_of(F.col("host")).alias("host")), outcomes, suffixes, z)
     blocked = scratch_table(reputation.filter(F.col("lower") > max_bad).select(F.col("host").alias("__host")))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = rows.join(blocked, F.col("host") == F.col("__host"), "left")
+    judged = rows.join(blocked, site_of(F.col("host")) == F.col("__host"), "left")
     by_host = F.when(F.col("__host").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"))

@@ -3,6 +3,7 @@ repeated rows and clashing columns, and on an empty table."""
 
 import hashlib
 import heapq
+import math
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -27,17 +28,38 @@ def values(df, *names):
     return [tuple(r) for r in df.select(*names).collect()]
 
 
-def test_sharding(spark):
-    got = sharding.shard_documents(docs(spark), sharding.Topology.balanced(4, 2, 2)).collect()
-    assert len(got) == len(TEXTS) + 1
+def descend(key, topology):
+    """The shard of a key, level by level: the least of -ln(u) / weight among a node's children."""
+    base = "" if key is None else str(key)
+
+    def draw(path, weight):
+        u = (int(hashlib.md5(f"{base}/{path}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return -math.log(u) / weight
+
+    def pick(path, weights):
+        return min((draw(f"{path}{i}", w), i) for i, w in enumerate(weights) if w > 0)[1]
+
+    i = pick("", [sum(map(sum, region)) for region in topology.regions])
+    j = pick(f"{i}.", [sum(rack) for rack in topology.regions[i]])
+    k = pick(f"{i}.{j}.", topology.regions[i][j])
+    return sum(len(rack) for region in topology.regions[:i] for rack in region) + sum(map(len, topology.regions[i][:j])) + k
+
+
+@pytest.mark.parametrize("topology", [sharding.Topology.balanced(4, 2, 2), sharding.Topology((((1.0, 3.0), (2.0, 0.0)), ((2.0,),), ((0.5, 0.25, 4.0),)))])
+def test_sharding(spark, topology):
+    texts = [*TEXTS, *(f"text {i}" for i in range(300))]
+    rows = docs(spark, texts).union(docs(spark, texts[6:8])).collect()
+    rows += [rows[0]] * 500  # repeated as a whole
+    got = sharding.shard_documents(spark.createDataFrame(rows, SCHEMA), topology).collect()
+    want = Counter()
+    for r in rows:
+        t = (r.text or "").encode()
+        want[r.doc_id, len(t) + 1, zlib.crc32(t), "key", descend(r.doc_id, topology), descend(r.doc_id, topology.grow())] += 1
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.grown_shard) for r in got) == want
     by_shard = Counter(r.shard for r in got)
     assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in sorted(by_shard) for i in range(by_shard[s])]
-    for r in got:
-        t = b"" if r.doc_id is None else (TEXTS[r.doc_id] or "").encode()
-        if r.doc_id is not None:
-            assert (r.size, r.text_crc32) == (len(t) + 1, zlib.crc32(t))
-        assert r.grown_shard in (r.shard, 16)
-    assert sharding.shard_documents(docs(spark, []), sharding.Topology.balanced(4, 2, 2)).count() == 0
+    assert all(r.grown_shard in (r.shard, topology.n_shards) for r in got)
+    assert sharding.shard_documents(docs(spark, []), topology).count() == 0
 
 
 def test_sharding_moves_rows_only_into_the_new_shard_and_follows_weights(spark):
@@ -103,6 +125,44 @@ def test_packing_takes_the_ids_of_the_json_file():
         assert encoder.encode(text, allowed_special="all") == e.ids
 
 
+def test_url_hierarchy_and_odd_urls(spark):
+    hosts = {
+        "u:p@a.b.example.co.uk:8080": ("a.b.example.co.uk", "example.co.uk", "co.uk"), "example.com:8080": ("example.com", "example.com", "com"),
+        "10.0.0.1:80": ("10.0.0.1",) * 3, "[::1]:443": ("[::1]",) * 3, "x.y.z.kobe.jp": ("x.y.z.kobe.jp", "kobe.jp", "jp"), "example.com.": ("example.com", "example.com", "com"),
+        "localhost": ("localhost",) * 3, "": ("",) * 3, "1.2.3": ("1.2.3", "2.3", "3"), "co.uk": ("co.uk",) * 3,
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "raw string").withColumn("host", url_filter.site_of(F.col("raw")))
+    assert {r.raw: (r.host, r.domain, r.suffix) for r in url_filter.with_domain(df).collect()} == hosts
+    table = spark.createDataFrame([("z.kobe.jp",), ("kobe.jp",), ("kobe.jp",)], "s string")
+    found = {r.raw: (r.domain, r.suffix) for r in url_filter.with_domain(df, table).collect()}
+    assert found["x.y.z.kobe.jp"] == ("y.z.kobe.jp", "z.kobe.jp") and found["u:p@a.b.example.co.uk:8080"] == ("co.uk", "uk")
+    urls = [f"http://bad.example.com:{8000 + i}/x" for i in range(40)] + ["http://bad.example.com/" + "y" * 200_000, "http://10.0.0.1/", "http://fine.org/"]
+    pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, rule string")
+    outcomes = spark.createDataFrame([(i, i < 40) for i in range(43)], "page_id long, bad boolean")
+    got = url_filter.judge_pages(pages, outcomes, [], z=0.5).collect()
+    assert len(got) == 44 and {r.host.split(":")[0]: r.verdict for r in got} == {"bad.example.com": "block", "10.0.0.1": "allow", "fine.org": "allow"}
+    assert max(len(r.path) for r in got) == 200_001 and got[0].host == "bad.example.com:8000"
+
+
+def test_quality_of_very_long_texts(monkeypatch):
+    r = np.random.default_rng(3)
+    text = b" ".join(b"w%d" % x + b"\n" * int(x % 3 == 0) for x in r.integers(0, 1000, 3000))
+    whole = quality.Bags.of([text])
+    for most in (40, 700, 5000, 10**6):
+        parts = list(quality.segments(text, most))
+        counts = [len(p.split()) for p in parts]
+        assert sum(counts) == 3000 and all(n % quality.PASSAGE == 0 for n in counts[:-1]) and b" ".join(p for p in parts).split() == text.split()
+    assert list(quality.segments(b"x" * 5000, 100)) == [b"x" * 5000] and list(quality.segments(b"", 100)) == [b""]
+    model = quality.Model().start()
+    want = model.score([text, b"short", text[:100]])
+    monkeypatch.setattr(quality, "GROUP", 600)
+    monkeypatch.setattr(quality, "segments", lambda t, cut=quality.segments: cut(t, 600))
+    assert model.score([text, b"short", text[:100]]) == pytest.approx(want, abs=2e-3)
+    assert quality.some_features(text, 7).shape == (7, 520) and quality.some_features(b"", 7).shape == (1, 520)
+    ends = quality.some_features(text, 2).astype(np.float32)  # the first and the last passage: not a prefix
+    assert ends[1] == pytest.approx(whole.features(59, 60)[0], abs=2e-2)
+
+
 def test_quality_learns_and_handles_odd_texts(spark):
     good, bad = "the river ran over the old stones and into the town ", "BUY!! NOW!! $$$ CLICK!! "
     texts = [(good if i % 2 else bad) * (1 + i % 7) for i in range(200)] + ["", None, LONG]
