@@ -40,7 +40,7 @@ def _numbers(blob: Column) -> Column:
         n = F.length(text) / (width * 2)
         cut = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.conv(F.substr(text, (i - 1) * width * 2 + 1, width * 2), 16, 10).cast("long"))
         bad = F.raise_error(F.lit("the blob does not hold as many ids as frequencies")).cast("array<bigint>")
-        return F.when((n == F.floor(n)) & (n % 2 == 0), cut).otherwise(bad)
+        return F.when(n == 0, F.array().cast("array<bigint>")).when((n == F.floor(n)) & (n % 2 == 0), cut).otherwise(bad)
 
     width = F.conv(F.hex(F.substr(blob, F.lit(1), F.lit(1))), 16, 10).cast("int")
     return _let(F.hex(F.substr(blob, F.lit(2))), lambda text: _let(width, lambda w: parse(text, w)))
@@ -57,11 +57,29 @@ def decode_gaps(blob: Column) -> Column:
     return _let(blob, lambda b: F.when(F.length(b) == 0, none).otherwise(_let(_numbers(b), zipped)))
 
 
+#: Gaps that are added up at a time.
+RUN = 256
+
+
 def decode(blob: Column) -> tuple[Column, Column]:
     """(doc_ids, frequencies), both ARRAY<BIGINT>; empty arrays for an empty blob.
 
-    The running sums copy the list; for whole tables use ``operators.index.decompress``.
+    Running sums append to a short list, and lists of ``RUN`` ids are joined at the end, so a
+    list of n ids costs n * (RUN + n / RUN) copies at most; stored lists are blocks of bounded
+    length (``operators.compressed``).
     """
-    start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
-    step = lambda a, p: F.struct((a["last"] + p["gap"]).alias("last"), F.array_append(a["ids"], a["last"] + p["gap"]).alias("ids"))
-    return F.aggregate(decode_gaps(blob), start, step)["ids"], F.transform(decode_gaps(blob), lambda p: p["tf"])
+
+    def append(a: Column, p: Column) -> Column:
+        return _let(a["last"] + p["gap"], lambda to: F.struct(to.alias("last"), F.array_append(a["ids"], to).alias("ids")))
+
+    def sums(gaps: Column) -> Column:
+        def run(a: Column, at: Column) -> Column:
+            empty = F.struct(a["last"].alias("last"), F.array().cast("array<bigint>").alias("ids"))
+            part = F.aggregate(F.slice(gaps, at, F.lit(RUN)), empty, append)
+            return _let(part, lambda p: F.struct(p["last"].alias("last"), F.array_append(a["runs"], p["ids"]).alias("runs")))
+
+        start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<array<bigint>>").alias("runs"))
+        starts = F.when(F.size(gaps) > 0, F.sequence(F.lit(1), F.size(gaps), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.aggregate(starts, start, run)["runs"])
+
+    return _let(decode_gaps(blob), sums), F.transform(decode_gaps(blob), lambda p: p["tf"])

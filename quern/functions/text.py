@@ -59,13 +59,18 @@ def stem_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield lists.map(lambda ts: None if ts is None else [stem(t) for t in ts])
 
 
+def ascii_text(text: Column) -> Column:
+    """``to_ascii``, to which only texts that hold more than ASCII are sent."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, text).otherwise(to_ascii(F.when(~plain, text)))
+
+
 def clean(text: Column) -> Column:
     """Cleaned lower-case ASCII text; null where nothing is left."""
-    c = to_ascii(text)
+    c = ascii_text(text)
     for pattern in (SCRIPT_BLOCK, TAG, NOISE, URL, PUNCTUATION, SPACES):
         c = F.regexp_replace(c, pattern, " ")
-    c = F.lower(F.trim(c))
-    return F.when(c != "", c)
+    return F.nullif(F.lower(F.trim(c)), F.lit(""))  # computed once, unlike in a when()
 
 
 def tokenize(text: Column, min_word_length: int = 2) -> Column:

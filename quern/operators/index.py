@@ -10,11 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import codec
 from quern.functions.text import TextOptions, tokens, word_count
+from quern.sources.collection import sample_documents
 
 
 @dataclass(frozen=True)
@@ -24,11 +24,18 @@ class Index:
     doc_stats: DataFrame
     stats: DataFrame
     options: TextOptions = TextOptions()
+    #: The relations are tables, not plans over the collection.
+    stored: bool = False
+
+    def relations(self) -> tuple[DataFrame, ...]:
+        return self.postings, self.lexicon, self.doc_stats, self.stats
 
     def cache(self) -> Index:
-        for df in (self.postings, self.lexicon, self.doc_stats, self.stats):
-            df.cache()
-        return self
+        return Index(*[df.cache() for df in self.relations()], self.options, True)
+
+    def uncache(self) -> None:
+        for df in self.relations():
+            df.unpersist()
 
     def postings_of(self, term: str) -> DataFrame:
         """(doc_id, tf) of a term; empty if it is unknown."""
@@ -53,7 +60,7 @@ class Index:
 
     @staticmethod
     def load(spark: SparkSession, path: str, options: TextOptions = TextOptions()) -> Index:
-        return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "lexicon", "doc_stats", "stats")], options)
+        return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "lexicon", "doc_stats", "stats")], options, True)
 
 
 def lexicon_of(postings: DataFrame) -> DataFrame:
@@ -104,24 +111,18 @@ def merge_indices(parts: list[Index]) -> Index:
     return Index(postings, lexicon_of(postings), doc_stats, stats_of(doc_stats), parts[0].options)
 
 
+def build_sample_index(docs: DataFrame, k: int = 10_000, seed: int | None = None, options: TextOptions = TextOptions()) -> Index:
+    """The index of ``k`` sampled documents (see ``sources.collection.sample_documents``)."""
+    return build_index(sample_documents(docs, k, seed), options)
+
+
 def posting_lists(postings: DataFrame) -> DataFrame:
-    """(term, doc_ids, frequencies), ids ascending. An array holds a term's whole list: for export."""
+    """(term, doc_ids, frequencies), ids ascending. An array holds a term's whole list: for export.
+    The compressed index keeps lists in blocks of bounded length instead."""
     nested = F.sort_array(F.collect_list(F.struct("doc_id", "tf")))
     return postings.groupBy("term").agg(nested.alias("p")).select("term", F.col("p.doc_id").alias("doc_ids"), F.col("p.tf").alias("frequencies"))
 
 
-def compress(postings: DataFrame) -> DataFrame:
-    """(term, blob)."""
-    return posting_lists(postings).select("term", codec.encode(F.col("doc_ids"), F.col("frequencies")).alias("blob"))
-
-
-def decompress(blobs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf) again: gaps are exploded and added up along each list."""
-    gaps = blobs.select("term", F.posexplode(codec.decode_gaps(F.col("blob"))).alias("i", "p"))
-    along = Window.partitionBy("term").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.select("term", F.sum("p.gap").over(along).alias("doc_id"), F.col("p.tf").alias("tf"))
-
-
 def index_summary(index: Index) -> DataFrame:
     """One row: terms, postings, and postings per term."""
     return index.lexicon.agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"), F.coalesce(F.avg("df"), F.lit(0.0)).alias("avg_postings"))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import scoring
 from quern.functions.text import TextOptions, tokens
+from quern.scratch import scratch_table
 
-from .index import Index
+from .index import Index, lexicon_of, stats_of
 
 MODES = ("conjunctive", "disjunctive")
 
@@ -34,11 +35,19 @@ def matches(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     """(query_id, doc_id, n_terms, matched, tfidf, bm25) of every document with any query term.
 
     Which side is broadcast is the planner's choice by size; a stored index has its postings
-    sorted by term, and the terms of a small query side prune them.
+    sorted by term, and the terms of a small query side prune them. An index that is still a plan
+    over its collection gives only the postings of the terms asked for and the documents' lengths,
+    each written once, so the collection is cleaned once whatever reads them.
     """
-    hits = index.postings.join(query_terms(queries, index.options), "term").join(index.lexicon, "term")
-    hits = hits.join(index.doc_stats, "doc_id", "left").withColumn("doc_len", F.coalesce("doc_len", F.lit(0)))
-    hits = hits.crossJoin(F.broadcast(index.stats))  # one row
+    terms = scratch_table(query_terms(queries, index.options))
+    postings = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    lexicon, doc_stats, stats = index.lexicon, index.doc_stats, index.stats
+    if not index.stored:
+        postings, doc_stats = scratch_table(postings), scratch_table(doc_stats)
+        lexicon, stats = lexicon_of(postings), stats_of(doc_stats)
+    hits = postings.join(terms, "term").join(lexicon, "term")
+    hits = hits.join(doc_stats, "doc_id", "left").withColumn("doc_len", F.coalesce("doc_len", F.lit(0)))
+    hits = hits.crossJoin(F.broadcast(stats))  # one row
     tf, df, n, dl, avg = (F.col(c) for c in ("tf", "df", "n", "doc_len", "avgdl"))
     return hits.groupBy("query_id", "doc_id").agg(
         F.first("n_terms").alias("n_terms"),

@@ -79,7 +79,7 @@ ALL_MODES = """all_modes AS (
 )""".replace("MODES", MODES)
 
 QRELS = """qrels AS (
-  SELECT query_id, doc_id, quality * 2 + toxic AS relevance FROM labels, (VALUES (1), (2), (3), (5)) AS q(query_id) WHERE doc_id % 20 = 0
+  SELECT query_id, doc_id, quality * 2 + toxic AS relevance FROM labels, (VALUES (1), (2), (3), (5)) AS q(query_id)
 ), runs AS (
   SELECT * FROM (SELECT DISTINCT query_id FROM qrels), MODES
 ), ideal AS (
@@ -114,14 +114,16 @@ STANDARD = f"""WITH {matches()}, {ALL_MODES}, {QRELS}, top_ideal AS (
 SELECT query_id::BIGINT AS query_id, query_type, method, round(CASE WHEN best > 0 THEN coalesce(dcg, 0) / best ELSE 0 END, 6) AS ndcg
 FROM top_ideal LEFT JOIN dcg USING (query_id, query_type, method)"""
 
-ENCODED = f"""WITH {BASE}, lists AS (
-  SELECT term, list(doc_id ORDER BY doc_id) AS ids, list(tf ORDER BY doc_id) AS freqs FROM postings GROUP BY term
+BLOCKS = f"""WITH {BASE}, lists AS (
+  SELECT term, doc_id // 65536 AS block, count(*) AS n, list(doc_id % 65536 ORDER BY doc_id) AS ids, list(tf ORDER BY doc_id) AS freqs FROM postings GROUP BY ALL
 ), nums AS (
-  SELECT term, list_concat(list_transform(ids, lambda x, i: CASE WHEN i = 1 THEN x ELSE x - ids[i - 1] END), freqs) AS v FROM lists
+  SELECT term, block, n, list_concat(list_transform(ids, lambda x, i: CASE WHEN i = 1 THEN x ELSE x - ids[i - 1] END), freqs) AS v FROM lists
 ), sized AS (
-  SELECT term, v, CASE WHEN list_max(v) < 256 THEN 1 WHEN list_max(v) < 65536 THEN 2 WHEN list_max(v) < 16777216 THEN 3 ELSE 4 END AS w FROM nums
-)
-SELECT term, printf('%02X', w) || array_to_string(list_transform(v, lambda x: lpad(printf('%X', x), w * 2, '0')), '') AS blob FROM sized"""
+  SELECT *, CASE WHEN list_max(v) < 256 THEN 1 WHEN list_max(v) < 65536 THEN 2 WHEN list_max(v) < 16777216 THEN 3 ELSE 4 END AS w FROM nums
+), encoded AS (
+  SELECT term, block, n, printf('%02X', w) || array_to_string(list_transform(v, lambda x: lpad(printf('%X', x), w * 2, '0')), '') AS blob FROM sized
+)"""
+ENCODED = f"{BLOCKS} SELECT * FROM encoded"
 
 STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
 IDS_SQL = ", ".join(f"({i}::BIGINT)" for i in sorted(set(IDS)))
@@ -157,7 +159,14 @@ def oracle_sql() -> dict[str, str]:
         "search_batch_topk": f"WITH {matches()}, {ALL_MODES} SELECT query_id, query_type, method, rank, doc_id, round(s, 6) AS score FROM best",
         "codec_encode_hex": ENCODED,
         "codec_decode": f"WITH {BASE} SELECT * FROM postings",
-        "codec_roundtrip": f"WITH {BASE} SELECT count(*) AS n_terms, count(*) AS n_same FROM lexicon",
+        "codec_roundtrip": f"{BLOCKS} SELECT count(*) AS n_blocks, count(*) AS n_same FROM encoded",
+        "compressed_save_load": f"WITH {BASE} SELECT * FROM postings",
+        "compressed_term_lookup": f"{BLOCKS} SELECT 'posting' AS kind, doc_id, tf, NULL::VARCHAR AS blob FROM postings WHERE term = 'thre' UNION ALL SELECT 'blob', block, n, blob FROM encoded WHERE term = 'thre'",
+        "compressed_search": searched((1, 2, 3), "disjunctive", "bm25"),
+        "merge_compressed": ENCODED,
+        "compressed_append": f"WITH {BASE} SELECT * FROM lexicon",
+        "sample_index": "WITH documents AS (SELECT * FROM documents ORDER BY md5(doc_id::VARCHAR) LIMIT 100), " + f"{BASE} SELECT * FROM lexicon",
+        "index_terms": f"WITH {BASE} SELECT term FROM lexicon",
         "merge_indices": f"WITH {BASE} SELECT * FROM postings",
         "merge_lexicons": f"WITH {BASE} SELECT * FROM lexicon",
         "fetch_documents_by_ids": f"SELECT t.doc_id, CASE WHEN d.doc_id IS NULL THEN 'Not existing document' ELSE text END AS text FROM (VALUES {IDS_SQL}) AS t(doc_id) LEFT JOIN documents d USING (doc_id)",

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import codec, text
-from quern.operators import evaluate, index, search
+from quern.operators import compressed, evaluate, index, search
+from quern.scratch import new_path
 from quern.sources import collection
 
 PLAIN = text.TextOptions(stopwords=False, stemming=False)
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return collection.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def query_set(spark: SparkSession, ids: tuple[int, ...] = ()) -> DataFrame:
@@ -39,7 +40,7 @@ def plain_index(spark: SparkSession, sf_dir: str) -> index.Index:
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).cast("int").alias("relevance"))
-    return labels.join(F.broadcast(query_set(spark, (1, 2, 3, 5)).select("query_id")))  # four queries
+    return labels.crossJoin(F.broadcast(query_set(spark, (1, 2, 3, 5)).select("query_id")))  # four rows, whatever the table
 
 
 def clean_documents(spark, sf_dir):
@@ -47,11 +48,12 @@ def clean_documents(spark, sf_dir):
 
 
 def clean_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.clean(F.col("html")).alias("cleaned"))
+    pages = collection.spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    return pages.select("page_id", text.clean(F.col("html")).alias("cleaned"))
 
 
 def tokenize_documents(spark, sf_dir):
-    found = text.tokenize(text.to_ascii(F.col("text")))
+    found = text.tokenize(text.ascii_text(F.col("text")))
     return documents(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n_tokens"), F.array_join(found, " ").alias("tokens"))
 
 
@@ -129,19 +131,58 @@ def search_batch_topk(spark, sf_dir):
 
 
 def codec_encode_hex(spark, sf_dir):
-    return index.compress(plain_index(spark, sf_dir).postings).select("term", F.hex("blob").alias("blob"))
+    return compressed.compress(plain_index(spark, sf_dir).postings).select("term", "block", "n", F.hex("blob").alias("blob"))
 
 
 def codec_decode(spark, sf_dir):
-    return index.decompress(index.compress(plain_index(spark, sf_dir).postings))
+    return compressed.decompress(compressed.compress(plain_index(spark, sf_dir).postings))
 
 
 def codec_roundtrip(spark, sf_dir):
-    lists = index.posting_lists(plain_index(spark, sf_dir).postings)
+    lists = compressed.posting_blocks(plain_index(spark, sf_dir).postings)
     encoded = lists.withColumn("blob", codec.encode(F.col("doc_ids"), F.col("frequencies")))
     ids, freqs = codec.decode(F.col("blob"))
     same = (ids == F.col("doc_ids")) & (freqs == F.col("frequencies"))
-    return encoded.agg(F.count("*").alias("n_terms"), F.count_if(same).alias("n_same"))
+    return encoded.agg(F.count("*").alias("n_blocks"), F.count_if(same).alias("n_same"))
+
+
+def _stored_compressed(spark, sf_dir):
+    path = new_path(spark)
+    compressed.CompressedIndex.of(plain_index(spark, sf_dir)).save(path)
+    return compressed.CompressedIndex.load(spark, path, PLAIN)
+
+
+def compressed_save_load(spark, sf_dir):
+    return _stored_compressed(spark, sf_dir).plain().postings
+
+
+def compressed_term_lookup(spark, sf_dir):
+    found = _stored_compressed(spark, sf_dir)
+    decoded = found.postings_of("thre").select(F.lit("posting").alias("kind"), "doc_id", "tf", F.lit(None).cast("string").alias("blob"))
+    blobs = found.blobs_of("thre").select(F.lit("blob").alias("kind"), F.col("block").alias("doc_id"), F.col("n").alias("tf"), F.hex("blob").alias("blob"))
+    return decoded.union(blobs)
+
+
+def compressed_search(spark, sf_dir):
+    return search.search(_stored_compressed(spark, sf_dir).plain(), query_set(spark, (1, 2, 3)), "disjunctive", "bm25")
+
+
+def merge_compressed(spark, sf_dir):
+    parts = [compressed.CompressedIndex.of(p) for p in _halves(spark, sf_dir)]
+    return compressed.merge_compressed_indices(parts).blobs.select("term", "block", "n", F.hex("blob").alias("blob"))
+
+
+def compressed_append(spark, sf_dir):
+    first, more = _halves(spark, sf_dir)
+    return compressed.CompressedIndex.of(first).with_postings(more.postings, more.doc_stats).lexicon
+
+
+def sample_index(spark, sf_dir):
+    return index.build_sample_index(documents(spark, sf_dir), 100, options=PLAIN).lexicon
+
+
+def index_terms(spark, sf_dir):
+    return plain_index(spark, sf_dir).terms()
 
 
 def _halves(spark, sf_dir):
@@ -202,7 +243,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         clean_documents, clean_pages, tokenize_documents, tokens_no_stopwords, stemmed_vocabulary, stemmed_search, doc_lengths,
         corpus_stats, postings, lexicon, posting_lists, index_stats, top_df_terms, parse_queries, term_lookup, term_lookup_missing,
-        document_lengths_lookup, search_batch_topk, codec_encode_hex, codec_decode, codec_roundtrip, merge_indices, merge_lexicons,
+        document_lengths_lookup, search_batch_topk, codec_encode_hex, codec_decode, codec_roundtrip,
+        compressed_save_load, compressed_term_lookup, compressed_search, merge_compressed, compressed_append, sample_index, index_terms, merge_indices, merge_lexicons,
         fetch_documents_by_ids, results_with_text, sample_documents, chunk_counts, judged_queries, ndcg_reference, ndcg_standard,
         mean_ndcg_by_mode,
     ]

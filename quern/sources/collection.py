@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.scratch import scratch_table
+
 MISSING = "Not existing document"
+SPACE = r"[\s\x1c-\x1f]"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: Bytes of a table for each core below which its rows are dealt out after the scan.
+SPREAD = 128 << 20
+
+
+def strip(value: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(value, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+
+
+def number(field: Column) -> Column:
+    """A long: exact for whole numbers, towards zero for other decimal forms; null for what is no
+    finite number or lies outside the range."""
+    text = strip(field)
+    near = text.try_cast("double")
+    within = text.rlike(NUMBER) & (F.abs(near) < F.lit(2.0**63))
+    return F.coalesce(text.try_cast("long"), F.when(within, near).try_cast("long"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """(doc_id, text) of the well-formed lines: two fields at a tab, a numeric id."""
-    stripped = F.regexp_replace("value", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    parts = lines.select(F.split(stripped, "\t").alias("f")).filter(F.size("f") == 2)
-    number = F.expr("try_cast(trim(f[0]) as double)").cast("long")
-    return parts.select(number.alias("doc_id"), F.col("f")[1].alias("text")).filter("doc_id is not null")
+    parts = lines.select(F.split(strip("value"), "\t").alias("f")).filter(F.size("f") == 2)
+    return parts.select(number(F.col("f")[0]).alias("doc_id"), F.col("f")[1].alias("text")).filter("doc_id is not null")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key`` over all cores if it is small for them.
+
+    A file of one row group or one gzip stream is read by a single task, and what follows would
+    run there too. A table of ``SPREAD`` bytes a core or more has splits enough and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * SPREAD else df
 
 
 def read_collection(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -33,10 +62,10 @@ def count_lines(spark: SparkSession, path: str) -> int:
 def chunk_of(docs: DataFrame, chunk_size: int, order: str = "doc_id") -> DataFrame:
     """``docs`` with ``chunk``: consecutive runs of ``chunk_size`` rows in the order of ``order``.
 
-    The counts of range partitions give each its first row number, so no task sees all rows.
+    The counts of range partitions give each its first row number, so no task sees all rows. The
+    partitions are written, as a repeated range partitioning might cut elsewhere.
     """
-    parts = docs.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    parts = parts.persist()
+    parts = scratch_table(docs.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     first = parts.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
@@ -68,16 +97,22 @@ def with_text(results: DataFrame, docs: DataFrame) -> DataFrame:
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, text) of the two-field lines of a TSV file; an id that is no integer raises."""
-    f = spark.read.text(path).select(F.split(F.trim("value"), "\t").alias("f")).filter(F.size("f") == 2)
-    return f.select(F.col("f")[0].cast("long").alias("query_id"), F.col("f")[1].alias("text"))
+    f = spark.read.text(path).select(F.split(strip("value"), "\t").alias("f")).filter(F.size("f") == 2)
+    return f.select(whole(F.col("f")[0]).alias("query_id"), F.col("f")[1].alias("text"))
+
+
+def whole(field: Column) -> Column:
+    """An integer field; anything else raises, in every SQL mode."""
+    found = strip(field).try_cast("long")
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("not an integer: "), field)).cast("long"))
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, doc_id, relevance) of lines of exactly four fields; any other line raises."""
-    f = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f"), "value")
+    f = spark.read.text(path).select(F.split(strip("value"), rf"(?U){SPACE}+").alias("f"), "value")
     bad = F.raise_error(F.concat(F.lit("not a judgement of four fields: "), "value"))
     f = f.select(F.when(F.size("f") == 4, F.col("f")).otherwise(bad.cast("array<string>")).alias("f"))
-    return f.select(F.col("f")[0].cast("long").alias("query_id"), F.col("f")[2].cast("long").alias("doc_id"), F.col("f")[3].cast("int").alias("relevance"))
+    return f.select(*[whole(F.col("f")[i]).alias(c) for i, c in ((0, "query_id"), (2, "doc_id"), (3, "relevance"))]).withColumn("relevance", F.col("relevance").cast("int"))
 
 
 def write_pairs(df: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import codec, text
 from quern.functions.stemmer import stem
-from quern.operators import evaluate, index, search
+from quern.operators import compressed, evaluate, index, search
 from quern.plans import queries as plans
 from quern.sources import collection
 
@@ -82,7 +82,7 @@ def test_merge_equals_build_of_all(spark):
         assert sorted(getattr(whole, name).collect()) == sorted(getattr(merged, name).collect())
     with pytest.raises(ValueError):
         index.merge_postings([])
-    assert sorted(index.decompress(index.compress(whole.postings)).collect()) == sorted(whole.postings.collect())
+    assert sorted(compressed.decompress(compressed.compress(whole.postings)).collect()) == sorted(whole.postings.collect())
 
 
 def test_save_and_load(spark, tmp_path):
