@@ -27,8 +27,8 @@ NOISE_WORDS = (
 )
 NOISE = r"\b(" + "|".join(NOISE_WORDS) + r")\b"
 URL = r"(?i)(https?://|www\.)?([a-z0-9-]+\.)+[a-z]{2,}(/[^\s\x1c-\x1f<>]*)?"
-PUNCTUATION = r"[^\w\s\x1c-\x1f-]"
-SPACES = r"[\s\x1c-\x1f]+"
+#: Punctuation and white space at once: both become one space.
+SEPARATORS = r"[^\w-]+"
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def ascii_text(text: Column) -> Column:
 def clean(text: Column) -> Column:
     """Cleaned lower-case ASCII text; null where nothing is left."""
     c = ascii_text(text)
-    for pattern in (SCRIPT_BLOCK, TAG, NOISE, URL, PUNCTUATION, SPACES):
+    for pattern in (SCRIPT_BLOCK, TAG, NOISE, URL, SEPARATORS):
         c = F.regexp_replace(c, pattern, " ")
     return F.nullif(F.lower(F.trim(c)), F.lit(""))  # computed once, unlike in a when()
 
