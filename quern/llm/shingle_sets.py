@@ -19,7 +19,8 @@ bands and checks each pair exactly.
    costs nothing more.
 5. What the draws left open is checked whole: in every bucket of more than three nodes that
    still holds several components, each node outside the largest one meets all nodes of the
-   bucket, block by block (``open_links``). So every pair that shares a bucket is either
+   bucket, block by block (``open_links``); in a very large one it meets those alone with which
+   it shares a rare shingle, as any two similar sets do. So every pair that shares a bucket is either
    checked or already in one component; no pair of nodes is ever a row.
 
 Defined cases: texts without words (null, empty, blank) have the empty set and are one node; very
@@ -33,7 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import release, scratch_table
@@ -171,10 +172,53 @@ def block_links(block: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
 
-def open_links(placed: DataFrame, known: DataFrame, similarity: float, block_nodes: int = 256, block_hashes: int = 2**18) -> DataFrame:
+def prefix_buckets(placed: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """(band, key, node, comp): the nodes of ``placed`` dealt anew, by the rarest hashes of their sets.
+
+    With all hashes in one order, rarest first, two sets of at least ``similarity`` share one among
+    the first ``n - ceil(similarity * n) + 1`` of each of them: more of the n may not be missing. A
+    passage that many unlike texts share comes late in the order and brings none of them together.
+    """
+    nodes = placed.select("node", "comp").distinct()
+    hashes = scratch_table(nodes.join(known, "node").select("node", "comp", F.size("set").alias("n"), F.explode("set").alias("key")))
+    counts = scratch_table(hashes.groupBy("key").agg(F.count("*").alias("nodes")))
+    order = Window.partitionBy("node").orderBy("nodes", "key")
+    first = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1
+    ranked = hashes.join(counts.filter("nodes > 1"), "key")
+    # hashes of one node alone come first and meet nothing: they only take places
+    alone = hashes.join(counts.filter("nodes = 1"), "key", "left_semi").groupBy("node").agg(F.count("*").alias("taken"))
+    ranked = ranked.join(alone, "node", "left").withColumn("place", F.row_number().over(order) + F.coalesce("taken", F.lit(0)))
+    dealt = scratch_table(ranked.filter(F.col("place") <= first).select(F.lit(-1).alias("band"), "key", "node", "comp"))
+    release(hashes, counts)
+    return dealt
+
+
+def open_links(placed: DataFrame, known: DataFrame, similarity: float, block_nodes: int = 256, block_hashes: int = 2**18, large: int = 1024) -> DataFrame:
     """(u, v): links that join all components of ``placed`` (band, key, node, comp) which share
     a bucket of more than three nodes and hold a pair of similar nodes there.
 
+    Buckets of up to ``large`` nodes are checked as they are (``bucket_links``); the nodes of larger
+    ones that hold several components meet by rare hashes instead, so that a passage which many
+    unlike texts share does not bring them all together.
+    """
+    counts = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
+    sizes = scratch_table(counts.groupBy("band", "key").agg(F.count("*").alias("comps"), F.sum("n").alias("n")).filter("n > 3 and comps > 1"))
+    wide = sizes.filter(F.col("n") > large)
+    small = placed.join(sizes.filter(F.col("n") <= large).select("band", "key"), ["band", "key"], "left_semi")
+    found = scratch_table(bucket_links(small, known, similarity, 3, block_nodes, block_hashes))
+    if not wide.isEmpty():
+        dealt = prefix_buckets(placed.join(wide.select("band", "key"), ["band", "key"], "left_semi"), known, similarity)
+        more = scratch_table(found.union(bucket_links(dealt, known, similarity, 1, block_nodes, block_hashes)).distinct())
+        release(found, dealt)
+        found = more
+    release(sizes)
+    return found
+
+
+def bucket_links(placed: DataFrame, known: DataFrame, similarity: float, least: int, block_nodes: int, block_hashes: int) -> DataFrame:
+    """(u, v): links that join all components which share a bucket of more than ``least`` nodes and
+    hold a pair of similar nodes there.
+
     The nodes of a bucket are dealt to parts, and so are its nodes outside the largest
     component, which ask; a task gets one part of each, so neither a large bucket nor large
     sets gather in one task. A bucket of n nodes, m of which ask, takes about m * n /
@@ -187,7 +231,7 @@ def open_links(placed: DataFrame, known: DataFrame, similarity: float, block_nod
     def parts(n: Column, hashes: Column) -> Column:
         return F.greatest(F.ceil(n / block_nodes), F.ceil(hashes / block_hashes), F.lit(1)).cast("int")
 
-    open_ones = mixed.filter("n > 3 and comps > 1").select(
+    open_ones = mixed.filter((F.col("n") > least) & (F.col("comps") > 1)).select(
         "band", "key", F.col("main.comp").alias("main"), parts(F.col("n"), F.col("hashes")).alias("parts"), parts(F.col("n") - F.col("main.n"), F.col("hashes") - F.col("main.hashes")).alias("ask_parts")
     )
     met = placed.join(open_ones, ["band", "key"])
@@ -257,7 +301,7 @@ def similar_groups(rows: DataFrame, connect: Callable[[DataFrame], DataFrame], c
     release(first_pairs)
     for number in range(rounds):
         joined(held(star_pairs(placed, number)))
-    joined(scratch_table(open_links(placed, known, similarity)))
+    joined(open_links(placed, known, similarity))
     release(known, placed, buckets)
     if roots is None:
         return members.withColumnRenamed("node", "__group")

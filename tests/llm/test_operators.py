@@ -263,6 +263,20 @@ def test_kept_documents_match_brute_force(spark):
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_a_shared_passage_brings_few_together(spark):
+    """300 unlike sets in one bucket that share a third of their hashes, and twins of some."""
+    r = np.random.default_rng(7)
+    passage, sets = r.integers(-(2**62), 2**62, 50), []
+    for i in range(300):
+        sets.append(np.unique(np.concatenate([passage, r.integers(-(2**62), 2**62, 100)])))
+    sets += [np.unique(np.concatenate([s[:-5], r.integers(-(2**62), 2**62, 5)])) for s in sets[:30]]
+    placed = spark.createDataFrame([(0, 9, i, i) for i in range(330)], "band int, key long, node long, comp long")
+    known = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "node long, set array<long>")
+    assert sorted(values(shingle_sets.open_links(placed, known, 0.8, large=100), "u", "v")) == [(300 + i, i) for i in range(30)]
+    dealt = shingle_sets.prefix_buckets(placed, known, 0.8)
+    assert dealt.groupBy("key").count().agg(F.max("count")).first()[0] < 10
+
+
 def test_blocks_of_a_bucket_join_all_that_is_similar(spark):
     r = np.random.default_rng(5)
     base, sets = r.integers(-(2**62), 2**62, 100), []
@@ -277,7 +291,7 @@ def test_blocks_of_a_bucket_join_all_that_is_similar(spark):
     comp = [0 if i < 20 and labels[i] == 0 else i for i in range(60)]  # part of the group is joined already
     placed = spark.createDataFrame([(b, 9, i, comp[i]) for b in range(2) for i in range(60)], "band int, key long, node long, comp long")
     known = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "node long, set array<long>")
-    for sizes in ({}, {"block_nodes": 7}, {"block_hashes": 1500}):
+    for sizes in ({}, {"block_nodes": 7}, {"block_hashes": 1500}, {"large": 10}, {"large": 10, "block_nodes": 5}):
         found = values(shingle_sets.open_links(placed, known, 0.8, **sizes), "u", "v")
         assert set(found) <= set(near) and len(found) < len(near)
         mine = list(comp)
