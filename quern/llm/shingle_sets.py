@@ -125,19 +125,26 @@ def sets(shingle: int) -> Callable[[Column], Column]:
     return of
 
 
-def star_pairs(placed: DataFrame, number: int) -> DataFrame:
-    """(node, other): every node with two nodes of each of its buckets, where the two are of
-    different components. Round 0 takes the two extreme draws; later rounds, in buckets of more
-    than three nodes that hold several components, one draw from outside the bucket's largest
-    component and one from all."""
-    draw, outside = F.xxhash64(F.lit(number), "band", "key", "node"), F.lit(True)
+def star_ends(placed: DataFrame, number: int) -> DataFrame:
+    """(band, key, p, q): two drawn members of each bucket. Round 0 takes the two extreme draws; later
+    rounds, in buckets of more than three nodes that hold several components, one draw from
+    outside the bucket's largest component and one from all."""
+    draw, outside, mixed = F.xxhash64(F.lit(number), "band", "key", "node"), F.lit(True), None
     if number:
         counts = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
         mixed = counts.groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n"))
-        placed = placed.join(mixed.filter("n > 3 and comps > 1").select("band", "key", "main"), ["band", "key"])
+        mixed = scratch_table(mixed.filter("n > 3 and comps > 1").select("band", "key", "main"))
+        placed = placed.join(mixed, ["band", "key"])
         outside = F.col("comp") != F.col("main")
     member = F.struct("node", "comp")
-    ends = placed.groupBy("band", "key").agg(F.min_by(member, F.when(outside, draw)).alias("p"), F.max_by(member, draw).alias("q"))
+    ends = scratch_table(placed.groupBy("band", "key").agg(F.min_by(member, F.when(outside, draw)).alias("p"), F.max_by(member, draw).alias("q")))
+    release(mixed)
+    return ends
+
+
+def star_pairs(placed: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node, other): every node with the two drawn ones of each of its buckets, where they are of
+    different components. Both sides are written tables, so a large bucket's rows can be split."""
     met = placed.join(ends, ["band", "key"]).select("node", "comp", F.explode(F.array("p", "q")).alias("end"))
     return met.filter("comp != end.comp").select("node", F.col("end.node").alias("other"))
 
@@ -300,7 +307,9 @@ def similar_groups(rows: DataFrame, connect: Callable[[DataFrame], DataFrame], c
     joined(held(first_pairs))
     release(first_pairs)
     for number in range(rounds):
-        joined(held(star_pairs(placed, number)))
+        ends = star_ends(placed, number)
+        joined(held(star_pairs(placed, ends)))
+        release(ends)
     joined(open_links(placed, known, similarity))
     release(known, placed, buckets)
     if roots is None:
