@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_table
+from .common import release, scratch_table
 
 BLANKS = " \t\r"
 
@@ -40,15 +40,16 @@ def _blank(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: Column, text: str, max_ratio: float, min_pages: int) -> DataFrame:
-    """(host, lines): the keys of each host's boilerplate lines; hosts without any are absent.
+    """(host, lines), written: the keys of each host's boilerplate lines; hosts without any are absent.
 
     A host has at most ``lines per page / max_ratio`` boilerplate lines, so the array is
     bounded whatever the number of its pages. Lines are made distinct inside the page before
     they are exploded and pre-aggregated before each shuffle, so a hot host, line or page
-    costs one row per task.
+    costs one row per task. The pages of each host and the lines over the ratio are written before
+    they are used, so the many other lines of a hot host need not come together for either.
     """
     src = pages.select(F.coalesce(host, F.lit("")).alias("__host"), F.col(text).alias("__text"))
-    totals = src.groupBy("__host").agg(F.count("*").alias("__pages"))
+    totals = scratch_table(src.groupBy("__host").agg(F.count("*").alias("__pages")))
     lines = F.filter(F.split("__text", "\n", -1), lambda x: ~_blank(x))
     seen = (
         src.select("__host", F.explode(F.array_distinct(F.transform(lines, _key))).alias("__line"))
@@ -56,12 +57,11 @@ def boilerplate(pages: DataFrame, host: Column, text: str, max_ratio: float, min
         .agg(F.count("*").alias("__with"))
         .filter(F.col("__with") >= F.lit(min_pages))
     )
-    return (
-        seen.join(totals, "__host")
-        .filter(F.col("__with").cast("double") / F.col("__pages") > F.lit(float(max_ratio)))
-        .groupBy("__host")
-        .agg(F.collect_list("__line").alias("__lines"))
-    )
+    over = F.col("__with").cast("double") / F.col("__pages") > F.lit(float(max_ratio))
+    over = scratch_table(seen.join(totals, "__host").filter(over).select("__host", "__line"))
+    bad = scratch_table(over.groupBy("__host").agg(F.collect_list("__line").alias("__lines")))
+    release(totals, over)
+    return bad
 
 
 def free_name(name: str, taken: list[str]) -> str:
@@ -80,7 +80,7 @@ def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", max_rat
     splits a hot host. A page's lines meet those of its host by their hashes, so a host with many
     boilerplate lines costs their sum, not their product.
     """
-    bad = scratch_table(boilerplate(pages, host, text, max_ratio, min_pages)).withColumnRenamed("__host", "__h")
+    bad = boilerplate(pages, host, text, max_ratio, min_pages).withColumnRenamed("__host", "__h")
     lines = F.split(F.col("__text"), "\n", -1)
     of_line, of_host = F.transform("__all", lambda x: _key(x)["a"]), F.transform("__lines", lambda k: k["a"])
     keep = F.filter("__all", lambda x: _blank(x) | ~F.array_contains(F.col("__met"), _key(x)["a"]) | ~F.array_contains(F.col("__lines"), _key(x)))
