@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quern.functions.stemmer import IRREGULAR, STEP2, STEP3, STEP4
 from quern.functions.stopwords import ENGLISH
 from quern.functions.text import NOISE_WORDS
 
@@ -27,7 +28,9 @@ def tokenized(col: str) -> str:
     return f"list_filter(regexp_split_to_array({col}, '\\W+'), lambda w: length(w) >= 2 AND regexp_matches(w, '[A-Za-z]'))"
 
 
+STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
 TOKENS = tokenized(clean("text"))
+KEPT = f"list_filter({TOKENS}, lambda t: t NOT IN ({STOP}))"
 WORDS = "len(list_filter(regexp_split_to_array(text, '[\\s\\x0b\\x1c-\\x1f]+'), lambda w: w != ''))"
 
 
@@ -125,7 +128,83 @@ BLOCKS = f"""WITH {BASE}, lists AS (
 )"""
 ENCODED = f"{BLOCKS} SELECT * FROM encoded"
 
-STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
+
+def marked(w: str) -> str:
+    """The word with consonant y's as Y: at the start, and after a vowel."""
+    return f"regexp_replace(regexp_replace({w}, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g')"
+
+
+def fits(w: str, pattern: str) -> str:
+    return f"regexp_matches({marked(w)}, '{pattern.replace('V', '[aeiouy]').replace('C', '[^aeiouy]')}')"
+
+
+def turns(w: str, at_least: int) -> str:
+    return fits(w, "^C*" + "V+C+" * at_least)
+
+
+def short(w: str) -> str:
+    return f"({fits(w, 'CV[^aeiouywxY]$')} OR {fits(w, '^VC$')})"
+
+
+def suffixes(table: list[tuple[str, str, str]]) -> str:
+    """The first suffix that the word ends in decides: (suffix, replacement, condition)."""
+    return "CASE " + " ".join(f"WHEN ends_with(w, '{s}') THEN CASE WHEN {on} THEN left(w, -{len(s)}) || '{to}' ELSE w END" for s, to, on in table) + " ELSE w END"
+
+
+def stems(words: str) -> str:
+    """CTEs up to ``stems(term, stem)`` for the rows ``term`` of the CTE ``words``: the steps of the
+    suffix stripping, each a table of its own."""
+    longest = lambda table: sorted(table, key=lambda x: -len(x[0] if isinstance(x, tuple) else x))
+    cut = "left(w, -CASE WHEN ends_with(w, 'ed') THEN 2 ELSE 3 END)"
+    steps = [
+        "CASE WHEN ends_with(w, 'sses') THEN left(w, -2) WHEN ends_with(w, 'ies') THEN left(w, CASE WHEN length(w) = 4 THEN -1 ELSE -2 END) WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, -1) ELSE w END",
+        f"""CASE WHEN ends_with(w, 'ied') THEN left(w, CASE WHEN length(w) = 4 THEN -1 ELSE -2 END)
+             WHEN ends_with(w, 'eed') THEN CASE WHEN {turns("left(w, -3)", 1)} THEN left(w, -1) ELSE w END
+             WHEN (ends_with(w, 'ed') OR ends_with(w, 'ing')) AND {fits(cut, "V")} THEN
+               CASE WHEN regexp_matches({cut}, '(at|bl|iz)$') THEN {cut} || 'e'
+                    WHEN length({cut}) > 1 AND right({cut}, 1) = left(right({cut}, 2), 1) AND {fits(cut, "C$")}
+                    THEN CASE WHEN right({cut}, 1) IN ('l', 's', 'z') THEN {cut} ELSE left({cut}, -1) END
+                    WHEN {fits(cut, "^C*V+C+V*$")} AND {short(cut)} THEN {cut} || 'e' ELSE {cut} END
+             ELSE w END""",
+        f"CASE WHEN ends_with(w, 'y') AND length(w) > 2 AND {fits('left(w, -1)', 'C$')} THEN left(w, -1) || 'i' ELSE w END",
+        f"CASE WHEN ends_with(w, 'alli') AND {turns('left(w, -4)', 1)} THEN left(w, -2) ELSE w END",
+        suffixes([(x, to, turns(f"left(w, -{3 if x == 'logi' else len(x)})", 1)) for x, to in longest(STEP2)]),
+        suffixes([(x, to, turns(f"left(w, -{len(x)})", 1)) for x, to in STEP3]),
+        suffixes([(x, "", turns(f"left(w, -{len(x)})", 2) + (" AND regexp_matches(left(w, -3), '[st]$')" if x == "ion" else "")) for x in longest(STEP4)]),
+        f"CASE WHEN ends_with(w, 'e') AND ({turns('left(w, -1)', 2)} OR ({turns('left(w, -1)', 1)} AND NOT {short('left(w, -1)')})) THEN left(w, -1) ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {turns('left(w, -1)', 2)} THEN left(w, -1) ELSE w END",
+    ]
+    irregular = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in IRREGULAR.items())
+    ctes = [f"stem_0 AS (SELECT DISTINCT term, lower(term) AS w FROM {words})"]
+    ctes += [f"stem_{i} AS MATERIALIZED (SELECT term, {step} AS w FROM stem_{i - 1})" for i, step in enumerate(steps, 1)]
+    final = f"stems AS (SELECT term, CASE WHEN length(term) <= 2 THEN lower(term) ELSE CASE lower(term) {irregular} ELSE w END END AS stem FROM stem_{len(steps)})"
+    return ", ".join([*ctes, final])
+
+
+STEMMED = f"""WITH doc_words AS (
+  SELECT doc_id, unnest({KEPT}) AS term FROM documents
+), query_words AS (
+  SELECT query_id, unnest({KEPT}) AS term FROM {query_values()}
+), words AS (
+  SELECT term FROM doc_words UNION SELECT term FROM query_words
+), {stems("words")}, postings AS (
+  SELECT stem AS term, doc_id, count(*) AS tf FROM doc_words JOIN stems USING (term) GROUP BY ALL
+), lexicon AS (
+  SELECT term, count(*) AS df FROM postings GROUP BY term
+), doc_stats AS (
+  SELECT doc_id, ({WORDS})::BIGINT AS doc_len FROM documents
+), stats AS (
+  SELECT count(*) AS n, avg(doc_len) AS avgdl FROM doc_stats
+), wanted AS (
+  SELECT DISTINCT query_id, stem AS term FROM query_words JOIN stems USING (term)
+), found AS (
+  SELECT query_id, doc_id, sum(CASE WHEN doc_len = 0 THEN 0 ELSE ln(n::DOUBLE / df) * tf / (tf + 1.5 * (0.25 + 0.75 * doc_len / avgdl)) END) AS s
+  FROM wanted JOIN postings USING (term) JOIN lexicon USING (term) JOIN doc_stats USING (doc_id), stats GROUP BY query_id, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id)::INT AS rank FROM found
+) SELECT query_id, rank, doc_id, round(s, 6) AS score FROM ranked WHERE rank <= 10"""
+VOCABULARY = f"WITH words AS (SELECT DISTINCT unnest({KEPT}) AS term FROM documents), {stems('words')} SELECT term, stem FROM stems"
+
 IDS_SQL = ", ".join(f"({i}::BIGINT)" for i in sorted(set(IDS)))
 
 
@@ -135,7 +214,9 @@ def oracle_sql() -> dict[str, str]:
         "clean_pages": f"SELECT page_id, {clean('html')} AS cleaned FROM pages",
         "tokenize_documents": "SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, "
         + tokenized("regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')") + " AS t FROM documents)",
-        "tokens_no_stopwords": f"SELECT doc_id, coalesce(array_to_string(list_filter({TOKENS}, lambda t: t NOT IN ({STOP})), ' '), '') AS tokens FROM documents",
+        "tokens_no_stopwords": f"SELECT doc_id, coalesce(array_to_string({KEPT}, ' '), '') AS tokens FROM documents",
+        "stemmed_vocabulary": VOCABULARY,
+        "stemmed_search": STEMMED,
         "doc_lengths": f"SELECT doc_id, ({WORDS})::BIGINT AS doc_len FROM documents",
         "corpus_stats": f"WITH {BASE} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
         "postings": f"WITH {BASE} SELECT * FROM postings",

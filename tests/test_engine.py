@@ -52,6 +52,19 @@ def test_stemmer():
     assert {w: stem(w) for w in pairs} == pairs
 
 
+def test_stemmer_and_its_sql_agree():
+    import duckdb
+
+    from quern.plans import oracles
+
+    bases = "a by cr hop fil fall oper yel syz enjoy trouble str dy yy ayy relat sens pl_y x9y glee controll generous rate ti agree conflat".split()
+    ends = "s ed ing eed ied ies sses y ly ational tional izer bli alli fulli logi ousness iciti ative ness ement ion sion e ell ll er ance ization".split()
+    words = sorted({b + e for b in bases for e in ["", *ends]} | {b + e + f for b in bases for e in ends for f in ends} | {"skies", "dying", "howe", "succeed", "s", "ss", "ly"})
+    values = ", ".join(f"('{w}')" for w in words)
+    found = dict(duckdb.sql(f"WITH words AS (SELECT * FROM (VALUES {values}) AS t(term)), {oracles.stems('words')} SELECT term, stem FROM stems").fetchall())
+    assert {w: stem(w) for w in words if stem(w) != found[w]} == {} and len(found) > 15_000
+
+
 @pytest.mark.parametrize(("ids", "freqs"), [([1, 5, 10], [2, 3, 1]), ([10, 1000, 100000], [1, 2, 3]), ([1], [1]), ([], []), (list(range(1, 1001)), [i % 10 + 1 for i in range(1000)])])
 def test_codec(spark, ids, freqs):
     df = spark.createDataFrame([(ids, freqs)], "i array<long>, f array<long>").withColumn("b", codec.encode(F.col("i"), F.col("f")))
