@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.scratch import release, scratch_table
 
-__all__ = ["read_table", "release", "scratch_table"]
+__all__ = ["free_name", "read_table", "release", "scratch_table"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores after it as no column of ``taken`` has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, scratch_table
+from .common import free_name, release, scratch_table
 
 BLANKS = " \t\r"
 
@@ -64,13 +64,6 @@ def boilerplate(pages: DataFrame, host: Column, text: str, max_ratio: float, min
     return bad
 
 
-def free_name(name: str, taken: list[str]) -> str:
-    """``name``, with as many underscores after it as no column of ``taken`` has."""
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name
-
-
 def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", max_ratio: float = 0.05, min_pages: int = 2, keep_whole: bool = True, counts: bool = True) -> DataFrame:
     """``pages`` with boilerplate lines removed from ``text``; with ``counts`` also ``n_lines``, the
     lines of the text before, and ``dropped_lines``.

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 PASSAGE = 50
 TRIGRAMS = 512
 STATS = 8
@@ -276,5 +278,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_docs: int = 4000) -> DataFrame:
     """The rows and columns of ``docs`` whose score is at least ``threshold``."""
-    scored = with_score(docs, train(docs, labels, sample_docs), "__quality_score")
-    return scored.filter(F.col("__quality_score") >= threshold).select(*docs.columns)
+    score = free_name("__quality_score", docs.columns)
+    scored = with_score(docs, train(docs, labels, sample_docs), score)
+    return scored.filter(F.col(score) >= threshold).select(*docs.columns)

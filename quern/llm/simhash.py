@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, scratch_table
+from .common import free_name, release, scratch_table
 from .shingle_sets import CHUNK, SEED, majority, similar_groups
 
 #: Fingerprints compared all with all at a time.
@@ -304,9 +304,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
     among them, are copies of each other; very long texts are taken whole; of repeated rows and
     equal ids one stays; extra columns pass through; an empty table gives none.
     """
-    names = docs.columns
-    rows = scratch_table(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = similar_groups(rows, connect, lambda fps: links(fps, radius), "__row", "text", shingle, similarity)
-    ids = rows.select("__row", F.col("doc_id").alias("__id")).join(groups, "__row")
-    kept = ids.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*names)
+    names, row = docs.columns, free_name("__row", docs.columns)
+    rows = scratch_table(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = similar_groups(rows, connect, lambda fps: links(fps, radius), row, "text", shingle, similarity)
+    ids = rows.select(row, F.col("doc_id").alias("__id")).join(groups, row)
+    kept = ids.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id"), F.col(row).alias("row"))).alias("m")).select(F.col("m.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*names)

@@ -10,7 +10,7 @@ string, is left to the library as a whole, so Unicode normalization, the library
 tables of letters and special strings inside texts are always its own doing.
 
 Defined cases: a null text is empty and has 0 bytes and tokens; repeated rows and ids give a
-row each; very long texts and pieces are whole; extra columns are ignored.
+row each; very long texts and pieces are whole; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations

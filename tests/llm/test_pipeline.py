@@ -121,3 +121,43 @@ def test_every_stage_matches_plain_python(spark, tmp_path, monkeypatch):
     assert Counter(near) == Counter(plain_lines(lines)) and Counter(near) != Counter(lines)
     assert Counter(packed) == Counter(plain_near_duplicates(near)) and len(packed) < len(near)
     check_packing(packed, pieces)
+
+
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (3, " \t\n", "en", "s", 3), (None, "river stone town", "en", None, 16), (4, "river stone town", None, "s", None),
+    (5, "word " * 60_000, "en", "s", 300_000), (6, "menu\nriver one", "en", "s", 14), (7, "menu\nriver two", "en", "s", 14), (7, "menu\nriver two", "en", "s", 14), (7, "another text of this id", "en", "s", 23),
+]
+
+
+def odd(spark, rows=ODD):
+    """Extra columns take names that the stages use for counts, scores, keys and results."""
+    more = ", ".join(f"{c} string" for c in ("score", "n_lines", "dropped_lines", "label", "fp", "comp", "host", "length", "__row", "__host"))
+    return spark.createDataFrame([(*r, *("z" * 10)) for r in rows], f"{SCHEMA}, {more}")
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    labels = [(i, i % 2, 0) for i in range(30)] + [(6, None, 0), (None, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages, docs = dict(corpus_pipeline.STAGES), odd(spark)
+    all_rows = Counter(tuple(r) for r in docs.collect())
+    for name in ("quality classifier", "line dedup", "near-dedup"):
+        got = stages[name](spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and stages[name](spark, docs.limit(0), str(tmp_path)).count() == 0
+        rows = got.collect()
+        assert all(set(r[5:]) == {"z"} for r in rows)
+        if name == "quality classifier":  # equal texts share their fate
+            assert not Counter(tuple(r) for r in rows) - all_rows
+            kept = {r["text"] for r in rows}
+            assert len(rows) == sum(r[1] in kept for r in ODD)
+        elif name == "line dedup":
+            want = Counter(r[:5] for r in plain_lines(ODD))
+            assert Counter(tuple(r)[:5] for r in rows) == want
+            texts = Counter(r["text"] for r in rows)
+            assert texts["river one"] == 1 and texts["menu\nriver two"] == 2  # the repeated page is boilerplate as a whole
+        else:
+            assert sorted((r["doc_id"], (r["text"] or "")[:9]) for r in rows) == [(1, ""), (4, "river sto"), (5, "word word"), (6, "menu\nrive"), (7, "another t"), (7, "menu\nrive")]
+    check_packing([(1, ""), (4, "river stone town"), (5, "word " * 60_000)], [r for r in stages["packing"](spark, docs, str(tmp_path)).collect() if r.doc_id in (1, 4, 5)])
+    assert stages["packing"](spark, docs, str(tmp_path)).groupBy("doc_id").count().count() == 8
+    assert stages["packing"](spark, docs.limit(0), str(tmp_path)).count() == 0
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert stages["quality classifier"](spark, docs, str(tmp_path / "none")).count() == len(ODD)  # nothing learned, nothing rejected
