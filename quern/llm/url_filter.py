@@ -72,7 +72,8 @@ def is_address(site: Column) -> Column:
 def with_domain(sites: DataFrame, suffixes: DataFrame | tuple[str, ...] = SUFFIXES, host: str = "host") -> DataFrame:
     """``sites`` with ``suffix`` and ``domain``. Whether the list is broadcast is the planner's choice."""
     if not isinstance(suffixes, DataFrame):
-        suffixes = sites.sparkSession.createDataFrame([(s,) for s in suffixes], "suffix string")
+        listed = F.array(*[F.lit(s) for s in suffixes]).cast("array<string>")
+        suffixes = sites.sparkSession.range(1).select(F.explode(listed).alias("suffix"))
     listed = suffixes.select(F.col(suffixes.columns[0]).alias("__s")).distinct()
     of = {n: F.substring_index(F.col(host), ".", -n) for n in (1, 2, 3, 4)}
     for n in (2, 3):
