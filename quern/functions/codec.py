@@ -34,16 +34,15 @@ def encode(doc_ids: Column, frequencies: Column) -> Column:
 
 
 def _numbers(blob: Column) -> Column:
-    """The gaps, then the frequencies."""
+    """The gaps, then the frequencies. Slices of bytes, which cost their own length alone."""
 
-    def parse(text: Column, width: Column) -> Column:
-        n = F.length(text) / (width * 2)
-        cut = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.conv(F.substr(text, (i - 1) * width * 2 + 1, width * 2), 16, 10).cast("long"))
+    def parse(width: Column) -> Column:
+        n = (F.length(blob) - 1) / width
+        cut = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.conv(F.hex(F.substr(blob, i * width + 2, width)), 16, 10).cast("long"))
         bad = F.raise_error(F.lit("the blob does not hold as many ids as frequencies")).cast("array<bigint>")
         return F.when(n == 0, F.array().cast("array<bigint>")).when((n == F.floor(n)) & (n % 2 == 0), cut).otherwise(bad)
 
-    width = F.conv(F.hex(F.substr(blob, F.lit(1), F.lit(1))), 16, 10).cast("int")
-    return _let(F.hex(F.substr(blob, F.lit(2))), lambda text: _let(width, lambda w: parse(text, w)))
+    return _let(F.conv(F.hex(F.substr(blob, F.lit(1), F.lit(1))), 16, 10).cast("int"), parse)
 
 
 def decode_gaps(blob: Column) -> Column:
