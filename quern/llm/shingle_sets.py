@@ -212,35 +212,38 @@ def open_links(placed: DataFrame, known: DataFrame, similarity: float, block_nod
     sizes = scratch_table(counts.groupBy("band", "key").agg(F.count("*").alias("comps"), F.sum("n").alias("n")).filter("n > 3 and comps > 1"))
     wide = sizes.filter(F.col("n") > large)
     small = placed.join(sizes.filter(F.col("n") <= large).select("band", "key"), ["band", "key"], "left_semi")
-    found = scratch_table(bucket_links(small, known, similarity, 3, block_nodes, block_hashes))
+    found = bucket_links(placed, small, known, similarity, 3, block_nodes, block_hashes)
     if not wide.isEmpty():
         dealt = prefix_buckets(placed.join(wide.select("band", "key"), ["band", "key"], "left_semi"), known, similarity)
-        more = scratch_table(found.union(bucket_links(dealt, known, similarity, 1, block_nodes, block_hashes)).distinct())
-        release(found, dealt)
-        found = more
+        by_hash = bucket_links(dealt, dealt, known, similarity, 1, block_nodes, block_hashes)
+        both = scratch_table(found.union(by_hash).distinct())
+        release(found, by_hash, dealt)
+        found = both
     release(sizes)
     return found
 
 
-def bucket_links(placed: DataFrame, known: DataFrame, similarity: float, least: int, block_nodes: int, block_hashes: int) -> DataFrame:
-    """(u, v): links that join all components which share a bucket of more than ``least`` nodes and
-    hold a pair of similar nodes there.
+def bucket_links(placed: DataFrame, chosen: DataFrame, known: DataFrame, similarity: float, least: int, block_nodes: int, block_hashes: int) -> DataFrame:
+    """(u, v), written: links that join all components which share a bucket of more than ``least``
+    nodes and hold a pair of similar nodes there; ``chosen`` has the rows of ``placed`` that are in
+    the buckets to check.
 
     The nodes of a bucket are dealt to parts, and so are its nodes outside the largest
     component, which ask; a task gets one part of each, so neither a large bucket nor large
     sets gather in one task. A bucket of n nodes, m of which ask, takes about m * n /
     ``block_nodes`` rows.
     """
-    sized = placed.join(known.select("node", F.size("set").alias("hashes")), "node")
+    sized = chosen.join(known.select("node", F.size("set").alias("hashes")), "node")
     counts = sized.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.sum("hashes").alias("hashes"))
     mixed = counts.groupBy("band", "key").agg(F.max(F.struct("n", "comp", "hashes")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("hashes").alias("hashes"))
 
     def parts(n: Column, hashes: Column) -> Column:
         return F.greatest(F.ceil(n / block_nodes), F.ceil(hashes / block_hashes), F.lit(1)).cast("int")
 
-    open_ones = mixed.filter((F.col("n") > least) & (F.col("comps") > 1)).select(
+    open_ones = mixed.filter((F.col("n") > least) & (F.col("comps") > 1))
+    open_ones = scratch_table(open_ones.select(
         "band", "key", F.col("main.comp").alias("main"), parts(F.col("n"), F.col("hashes")).alias("parts"), parts(F.col("n") - F.col("main.n"), F.col("hashes") - F.col("main.hashes")).alias("ask_parts")
-    )
+    ))
     met = placed.join(open_ones, ["band", "key"])
     part, ask_part = F.pmod(F.xxhash64(F.lit("part"), "node"), "parts").cast("int"), F.pmod(F.xxhash64(F.lit("ask"), "node"), "ask_parts").cast("int")
     ids = ["band", "key", "node", "comp"]
@@ -251,7 +254,9 @@ def bucket_links(placed: DataFrame, known: DataFrame, similarity: float, least:
     def within(block: pd.DataFrame) -> pd.DataFrame:
         return block_links(block, similarity)
 
-    return rows.groupBy("band", "key", "part", "ask_part").applyInPandas(within, "u long, v long").distinct()
+    found = scratch_table(rows.groupBy("band", "key", "part", "ask_part").applyInPandas(within, "u long, v long").distinct())
+    release(open_ones)
+    return found
 
 
 def fingerprint_pairs(nodes: DataFrame, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
