@@ -12,6 +12,8 @@ SPACE = r"[\s\x1c-\x1f]"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 #: Bytes of a table for each core below which its rows are dealt out after the scan.
 SPREAD = 128 << 20
+#: Bytes of such a table that one task gets, so that tasks do not grow with the table.
+PART = 32 << 20
 
 
 def strip(value: Column | str) -> Column:
@@ -35,14 +37,14 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` dealt out by ``key`` over all cores if it is small for them.
+    """``df`` dealt out by ``key`` over all cores, in parts of ``PART`` bytes or less, if it is small for them.
 
     A file of one row group or one gzip stream is read by a single task, and what follows would
     run there too. A table of ``SPREAD`` bytes a core or more has splits enough and stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * SPREAD else df
+    return df.repartition(max(cores, -(-size // PART)), key) if size < cores * SPREAD else df
 
 
 def read_collection(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:

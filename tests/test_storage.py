@@ -76,6 +76,9 @@ def test_small_tables_are_spread_and_large_ones_left(spark, monkeypatch, tmp_pat
     one = spark.read.parquet(str(tmp_path / "d"))
     assert collection.spread(one, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert sorted(r.doc_id for r in collection.spread(one, "doc_id").collect()) == [i for i, _ in ROWS]
+    with monkeypatch.context() as few:
+        few.setattr(collection, "PART", 1)
+        assert collection.spread(one, "doc_id").rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     monkeypatch.setattr(collection, "SPREAD", 0)
     assert collection.spread(one, "doc_id").rdd.getNumPartitions() == 1
 
