@@ -13,7 +13,7 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 #: Bytes of a table for each core below which its rows are dealt out after the scan.
 SPREAD = 128 << 20
 #: Bytes of such a table that one task gets, so that tasks do not grow with the table.
-PART = 32 << 20
+PART = 8 << 20
 
 
 def strip(value: Column | str) -> Column:
