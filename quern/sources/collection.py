@@ -11,9 +11,9 @@ MISSING = "Not existing document"
 SPACE = r"[\s\x1c-\x1f]"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 #: Bytes of a table for each core below which its rows are dealt out after the scan.
-SPREAD = 128 << 20
+SPREAD = 16 << 30
 #: Bytes of such a table that one task gets, so that tasks do not grow with the table.
-PART = 8 << 20
+PART = 2 << 20
 
 
 def strip(value: Column | str) -> Column:
@@ -40,7 +40,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt out by ``key`` over all cores, in parts of ``PART`` bytes or less, if it is small for them.
 
     A file of one row group or one gzip stream is read by a single task, and what follows would
-    run there too. A table of ``SPREAD`` bytes a core or more has splits enough and stays as it is.
+    run there too. What is counted by ``key`` and more afterwards needs no shuffle of its own: the texts
+    are shuffled in place of their postings, which are several times as large. A table of ``SPREAD``
+    bytes a core or more stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
