@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import codec
 from quern.functions.text import TextOptions
+from quern.scratch import release, scratch_table
 
 from .index import Index, lexicon_of, stats_of
 
@@ -51,14 +52,14 @@ def merge_compressed(parts: list[DataFrame], span: int = SPAN) -> DataFrame:
     """Blobs of the postings of all parts, frequencies of a (term, doc_id) added up.
 
     A block that only one part has passes as it is; the others are decoded, merged and encoded.
-    A single part is returned unchanged.
+    A single part is returned unchanged. The parts are read once and their blobs written, by block.
     """
     if not parts:
         raise ValueError("nothing to merge")
     if len(parts) == 1:
         return parts[0]
     # the blobs of a block: one per part, so the list is short
-    every = reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.collect_list(F.struct("n", "blob")).alias("b"))
+    every = scratch_table(reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.collect_list(F.struct("n", "blob")).alias("b")))
     alone = every.filter(F.size("b") == 1).select(*KEY, F.col("b")[0]["n"].alias("n"), F.col("b")[0]["blob"].alias("blob"))
     shared = every.filter(F.size("b") > 1)
     ids, tfs = codec.decode(F.col("blob"))
@@ -102,10 +103,17 @@ class CompressedIndex:
         return Index(decompress(self.blobs), self.lexicon, self.doc_stats, self.stats, self.options)
 
     def save(self, path: str) -> None:
-        """Blobs are sorted by term and block, so that a term's lookup prunes files and row groups."""
-        self.blobs.repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{path}/blobs")
-        for name in ("lexicon", "doc_stats", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """Blobs are sorted by term and block, so that a term's lookup prunes files and row groups.
+
+        They are written once before that, since the ranges are sampled in a pass of its own; the
+        lexicon and the statistics come from what is stored, so the collection is cleaned once.
+        """
+        blobs = scratch_table(self.blobs)
+        blobs.repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.mode("overwrite").parquet(f"{path}/blobs")
+        blobs.groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/lexicon")
+        release(blobs)
+        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        stats_of(self.blobs.sparkSession.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def load(spark: SparkSession, path: str, options: TextOptions = TextOptions()) -> CompressedIndex:
