@@ -9,10 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, as a lambda's argument."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+from .text import let
 
 
 def encode(doc_ids: Column, frequencies: Column) -> Column:
@@ -25,12 +22,12 @@ def encode(doc_ids: Column, frequencies: Column) -> Column:
     def blob(values: Column) -> Column:
         bad = F.raise_error(F.lit("document ids must be ascending and not negative")).cast("binary")
         width = F.ceil(F.length(F.bin(F.array_max(values))) / F.lit(8)).cast("int")
-        return F.when(F.array_min(values) < 0, bad).otherwise(_let(width, lambda w: digits(values, w)))
+        return F.when(F.array_min(values) < 0, bad).otherwise(let(width, lambda w: digits(values, w)))
 
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice(doc_ids, F.lit(1), F.greatest(F.size(doc_ids) - 1, F.lit(0))))
     values = F.concat(F.zip_with(doc_ids, before, lambda x, y: x - y), frequencies)
     bad_length = F.raise_error(F.lit("document ids and frequencies differ in length")).cast("binary")
-    return F.when(F.size(doc_ids) != F.size(frequencies), bad_length).when(F.size(doc_ids) == 0, F.lit(b"")).otherwise(_let(values, blob))
+    return F.when(F.size(doc_ids) != F.size(frequencies), bad_length).when(F.size(doc_ids) == 0, F.lit(b"")).otherwise(let(values, blob))
 
 
 def _numbers(blob: Column) -> Column:
@@ -42,7 +39,7 @@ def _numbers(blob: Column) -> Column:
         bad = F.raise_error(F.lit("the blob does not hold as many ids as frequencies")).cast("array<bigint>")
         return F.when(n == 0, F.array().cast("array<bigint>")).when((n == F.floor(n)) & (n % 2 == 0), cut).otherwise(bad)
 
-    return _let(F.conv(F.hex(F.substr(blob, F.lit(1), F.lit(1))), 16, 10).cast("int"), parse)
+    return let(F.conv(F.hex(F.substr(blob, F.lit(1), F.lit(1))), 16, 10).cast("int"), parse)
 
 
 def decode_gaps(blob: Column) -> Column:
@@ -53,7 +50,7 @@ def decode_gaps(blob: Column) -> Column:
         return F.zip_with(F.slice(numbers, F.lit(1), half), F.slice(numbers, half + 1, half), lambda g, f: F.struct(g.alias("gap"), f.alias("tf")))
 
     none = F.array().cast("array<struct<gap:bigint,tf:bigint>>")
-    return _let(blob, lambda b: F.when(F.length(b) == 0, none).otherwise(_let(_numbers(b), zipped)))
+    return let(blob, lambda b: F.when(F.length(b) == 0, none).otherwise(let(_numbers(b), zipped)))
 
 
 #: Gaps that are added up at a time.
@@ -69,16 +66,16 @@ def decode(blob: Column) -> tuple[Column, Column]:
     """
 
     def append(a: Column, p: Column) -> Column:
-        return _let(a["last"] + p["gap"], lambda to: F.struct(to.alias("last"), F.array_append(a["ids"], to).alias("ids")))
+        return let(a["last"] + p["gap"], lambda to: F.struct(to.alias("last"), F.array_append(a["ids"], to).alias("ids")))
 
     def sums(gaps: Column) -> Column:
         def run(a: Column, at: Column) -> Column:
             empty = F.struct(a["last"].alias("last"), F.array().cast("array<bigint>").alias("ids"))
             part = F.aggregate(F.slice(gaps, at, F.lit(RUN)), empty, append)
-            return _let(part, lambda p: F.struct(p["last"].alias("last"), F.array_append(a["runs"], p["ids"]).alias("runs")))
+            return let(part, lambda p: F.struct(p["last"].alias("last"), F.array_append(a["runs"], p["ids"]).alias("runs")))
 
         start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<array<bigint>>").alias("runs"))
         starts = F.when(F.size(gaps) > 0, F.sequence(F.lit(1), F.size(gaps), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
         return F.flatten(F.aggregate(starts, start, run)["runs"])
 
-    return _let(decode_gaps(blob), sums), F.transform(decode_gaps(blob), lambda p: p["tf"])
+    return let(decode_gaps(blob), sums), F.transform(decode_gaps(blob), lambda p: p["tf"])

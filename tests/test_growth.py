@@ -62,3 +62,13 @@ def test_saving_reads_the_collection_for_the_blobs_only(spark, tmp_path):
 def test_merging_reads_the_parts_once(spark):
     parts = [compressed.compress(index.build_index(docs(spark).filter(F.col("doc_id") % 2 == i), PLAIN).postings) for i in (0, 1)]
     assert "regexp" not in plan(compressed.merge_compressed(parts))
+
+
+def test_words_are_cut_without_passes_that_find_nothing(spark):
+    cases = ["var x1 function", "Function.ab FUNCTION", "function.ab null", "wpb-js-composer xcomposer composer", "a <style b>push</style> c <i>onload</i>", "push.x y.com/z", "nullnull null", "café var-é", ".ab", "", None]
+    df = spark.createDataFrame([(c,) for c in cases], "t string").coalesce(1)
+    found = df.select(text.words(F.col("t"), PLAIN).alias("w"), F.coalesce(text.tokenize(text.clean(F.col("t"))), F.array().cast("array<string>")).alias("e"))
+    assert all(r.w == r.e for r in found.collect())
+    assert [r.w for r in found.collect()][:4] == [["x1"], ["function"], ["ab"], ["xcomposer", "composer"]]
+    physical = df.select(text.words(F.col("t"), PLAIN).alias("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" in physical and text.DOTTED in physical  # the condition for the other passes
