@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import codec
@@ -27,12 +27,18 @@ KEY = ["term", "block"]
 def posting_blocks(postings: DataFrame, span: int = SPAN) -> DataFrame:
     """(term, block, doc_ids, frequencies), ids ascending and counted from the block's start.
 
-    Postings are unique per (term, doc_id), so a group has at most ``span`` rows.
+    Postings are unique per (term, doc_id), so a group has at most ``span`` rows. A posting is
+    gathered and sorted as one long, the id above the frequency, which must be below 2 ** 47 at
+    the usual span.
     """
+    low = 63 - (span - 1).bit_length()
     block = F.expr(f"doc_id div {span}")
-    placed = postings.select("term", block.alias("block"), F.struct((F.col("doc_id") - block * F.lit(span)).alias("doc_id"), "tf").alias("p"))
+    bad = F.raise_error(F.lit(f"a frequency must be from 0 to {2**low - 1}")).cast("long")
+    tf = F.when(F.col("tf").between(0, 2**low - 1), F.col("tf")).otherwise(bad)
+    placed = postings.select("term", block.alias("block"), F.shiftleft(F.col("doc_id") - block * F.lit(span), low).bitwiseOR(tf).alias("p"))
     lists = placed.groupBy(*KEY).agg(F.sort_array(F.collect_list("p")).alias("p"))
-    return lists.select(*KEY, F.col("p.doc_id").alias("doc_ids"), F.col("p.tf").alias("frequencies"))
+    ids = F.transform("p", lambda p: F.shiftright(p, low))
+    return lists.select(*KEY, ids.alias("doc_ids"), F.transform("p", lambda p: p.bitwiseAND(2**low - 1)).alias("frequencies"))
 
 
 def compress(postings: DataFrame, span: int = SPAN) -> DataFrame:
@@ -42,10 +48,9 @@ def compress(postings: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def decompress(blobs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(term, doc_id, tf) again: gaps are exploded and added up along each block."""
-    gaps = blobs.select(*KEY, F.posexplode(codec.decode_gaps(F.col("blob"))).alias("i", "p"))
-    along = Window.partitionBy(*KEY).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.select("term", (F.col("block") * F.lit(span) + F.sum("p.gap").over(along)).alias("doc_id"), F.col("p.tf").alias("tf"))
+    """(term, doc_id, tf) again: ids are added up within each block, so nothing is sorted."""
+    each = blobs.select(*KEY, F.explode(codec.decode_postings(F.col("blob"))).alias("p"))
+    return each.select("term", (F.col("block") * F.lit(span) + F.col("p.id")).alias("doc_id"), F.col("p.tf").alias("tf"))
 
 
 def merge_compressed(parts: list[DataFrame], span: int = SPAN) -> DataFrame:
@@ -62,10 +67,8 @@ def merge_compressed(parts: list[DataFrame], span: int = SPAN) -> DataFrame:
     every = scratch_table(reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.collect_list(F.struct("n", "blob")).alias("b")))
     alone = every.filter(F.size("b") == 1).select(*KEY, F.col("b")[0]["n"].alias("n"), F.col("b")[0]["blob"].alias("blob"))
     shared = every.filter(F.size("b") > 1)
-    ids, tfs = codec.decode(F.col("blob"))
-    lists = shared.select(*KEY, F.explode("b.blob").alias("blob")).select(*KEY, F.explode(F.arrays_zip(ids.alias("id"), tfs.alias("tf"))).alias("p"))
-    merged = lists.groupBy(*KEY, F.col("p.id").alias("doc_id")).agg(F.sum("p.tf").alias("tf"))
-    again = compress(merged.select("term", (F.col("block") * F.lit(span) + F.col("doc_id")).alias("doc_id"), "tf"), span)
+    postings = decompress(shared.select(*KEY, F.explode("b.blob").alias("blob")), span)
+    again = compress(postings.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf")), span)
     return alone.unionByName(again)
 
 

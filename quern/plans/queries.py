@@ -141,9 +141,9 @@ def codec_decode(spark, sf_dir):
 def codec_roundtrip(spark, sf_dir):
     lists = compressed.posting_blocks(plain_index(spark, sf_dir).postings)
     encoded = lists.withColumn("blob", codec.encode(F.col("doc_ids"), F.col("frequencies")))
-    ids, freqs = codec.decode(F.col("blob"))
-    same = (ids == F.col("doc_ids")) & (freqs == F.col("frequencies"))
-    return encoded.agg(F.count("*").alias("n_blocks"), F.count_if(same).alias("n_same"))
+    decoded = encoded.withColumn("again", codec.decode_lists(F.col("blob")))
+    same = F.col("again") == F.struct("doc_ids", "frequencies")
+    return decoded.agg(F.count("*").alias("n_blocks"), F.count_if(same).alias("n_same"))
 
 
 def _stored_compressed(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text
@@ -72,3 +73,12 @@ def test_words_are_cut_without_passes_that_find_nothing(spark):
     assert [r.w for r in found.collect()][:4] == [["x1"], ["function"], ["ab"], ["xcomposer", "composer"]]
     physical = df.select(text.words(F.col("t"), PLAIN).alias("w"))._jdf.queryExecution().optimizedPlan().toString()
     assert "arrays_overlap" in physical and text.DOTTED in physical  # the condition for the other passes
+
+
+def test_codec_sorts_no_rows_and_keeps_odd_lists(spark):
+    postings = spark.createDataFrame([("a", d, 1 + d % 300) for d in range(0, 9000, 2)] + [("b", 65_535, 2**46), ("b", 65_536, 1), ("c", 0, 0)], "term string, doc_id long, tf long")
+    again = compressed.decompress(compressed.compress(postings))
+    assert "Window" not in plan(again)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, postings.collect()))
+    with pytest.raises(Exception, match="a frequency must be from 0"):
+        compressed.compress(postings.limit(1).withColumn("tf", F.lit(2**47))).collect()
