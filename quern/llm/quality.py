@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, trimmed
 
 PASSAGE = 50
 TRIGRAMS = 512
@@ -241,8 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, label: st
 
     @F.arrow_udf("binary")
     def featured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([some_features(t.as_py().encode(), train_passages).tobytes() for t in texts], pa.binary())
+        return trimmed(pa.array([some_features(t.as_py().encode(), train_passages).tobytes() for t in texts], pa.binary()) for texts in batches)
 
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
@@ -260,11 +259,13 @@ def with_score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """``docs`` with the score of each text; other columns do not go through Python."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some 70 kB
 
+    def of(texts: pa.Array) -> pa.Array:
+        scores = [sent.value.score(group) for group in groups((t.as_py() or "").encode() for t in texts)]
+        return pa.array(np.concatenate(scores) if scores else [], pa.float64())
+
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            scores = [sent.value.score(group) for group in groups((t.as_py() or "").encode() for t in texts)]
-            yield pa.array(np.concatenate(scores) if scores else [], pa.float64())
+        return trimmed(map(of, batches))
 
     return docs.withColumn(out, score(F.col("text").cast("string")))
 

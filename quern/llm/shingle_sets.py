@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, scratch_table
+from .common import release, scratch_table, trimmed
 
 BANDS, ROWS = 24, 4
 SEED = 42
@@ -99,19 +99,21 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 def signatures(shingle: int) -> Callable[[Column], Column]:
     """Column function: struct of the set's digest (a, b), the fingerprint and the band keys."""
 
-    @F.pandas_udf("a long, b long, fp long, keys array<long>")
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def of(texts: pd.Series) -> pd.DataFrame:
         from xxhash import xxh3_128_digest
 
-        for texts in batches:
-            digests, fps, keys = [], [], []
-            for t in texts:
-                hashes, fp = set_and_fingerprint(t, shingle)
-                digests.append(np.frombuffer(xxh3_128_digest(hashes.tobytes()), np.int64))
-                fps.append(fp)
-                keys.append(band_keys(hashes))
-            d = np.array(digests, np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"a": d[:, 0], "b": d[:, 1], "fp": np.array(fps, np.uint64).view(np.int64), "keys": keys})
+        digests, fps, keys = [], [], []
+        for t in texts:
+            hashes, fp = set_and_fingerprint(t, shingle)
+            digests.append(np.frombuffer(xxh3_128_digest(hashes.tobytes()), np.int64))
+            fps.append(fp)
+            keys.append(band_keys(hashes))
+        d = np.array(digests, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": d[:, 0], "b": d[:, 1], "fp": np.array(fps, np.uint64).view(np.int64), "keys": keys})
+
+    @F.pandas_udf("a long, b long, fp long, keys array<long>")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return trimmed(map(of, batches))
 
     return sign
 
@@ -119,8 +121,7 @@ def signatures(shingle: int) -> Callable[[Column], Column]:
 def sets(shingle: int) -> Callable[[Column], Column]:
     @F.pandas_udf("array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype=object)
+        return trimmed(pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype=object) for texts in batches)
 
     return of
 

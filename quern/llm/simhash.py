@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, release, scratch_table
+from .common import free_name, release, scratch_table, trimmed
 from .shingle_sets import CHUNK, SEED, majority, similar_groups
 
 #: Fingerprints compared all with all at a time.
@@ -61,9 +61,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shing
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            found = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
-            yield pd.Series(found.view(np.int64))
+        return trimmed(pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)) for texts in batches)
 
     return docs.withColumn(out, fp(F.col(text).cast("string")))
 
