@@ -121,9 +121,31 @@ def build_sample_index(docs: DataFrame, k: int = 10_000, seed: int | None = None
 
 def posting_lists(postings: DataFrame) -> DataFrame:
     """(term, doc_ids, frequencies), ids ascending. An array holds a term's whole list: for export.
-    The compressed index keeps lists in blocks of bounded length instead."""
-    nested = F.sort_array(F.collect_list(F.struct("doc_id", "tf")))
-    return postings.groupBy("term").agg(nested.alias("p")).select("term", F.col("p.doc_id").alias("doc_ids"), F.col("p.tf").alias("frequencies"))
+    The compressed index keeps lists in blocks of bounded length instead.
+
+    A posting is gathered and sorted as one long, the id above the frequency, if both fit (ids from 0 below
+    2 ** 43, frequencies below 2 ** 20). The others are gathered as they are and sorted in with the rest of their term.
+    """
+    low, kinds = 20, dict(postings.dtypes)
+    doc_id, tf = F.col("doc_id"), F.col("tf")
+    fits = F.coalesce(doc_id.between(0, 2 ** (63 - low) - 1) & tf.between(0, 2**low - 1), F.lit(False))
+    packed = F.shiftleft(doc_id.cast("long"), low).bitwiseOR(tf.cast("long"))
+    placed = postings.select("term", F.when(fits, packed).alias("p"), F.when(~fits, F.struct("doc_id", "tf")).alias("other"))
+    lists = placed.groupBy("term").agg(F.sort_array(F.collect_list("p")).alias("p"), F.collect_list("other").alias("other"))
+
+    def id_of(p: Column) -> Column:
+        return F.shiftright(p, low).cast(kinds["doc_id"])
+
+    def tf_of(p: Column) -> Column:
+        return p.bitwiseAND(2**low - 1).cast(kinds["tf"])
+
+    every = F.sort_array(F.concat(F.transform("p", lambda p: F.struct(id_of(p).alias("doc_id"), tf_of(p).alias("tf"))), "other"))
+    alone = F.size("other") == 0
+    return lists.select(
+        "term",
+        F.when(alone, F.transform("p", id_of)).otherwise(every["doc_id"]).alias("doc_ids"),
+        F.when(alone, F.transform("p", tf_of)).otherwise(every["tf"]).alias("frequencies"),
+    )
 
 
 def index_summary(index: Index) -> DataFrame:

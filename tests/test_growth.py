@@ -82,3 +82,21 @@ def test_codec_sorts_no_rows_and_keeps_odd_lists(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, postings.collect()))
     with pytest.raises(Exception, match="a frequency must be from 0"):
         compressed.compress(postings.limit(1).withColumn("tf", F.lit(2**47))).collect()
+
+
+def test_posting_lists_gather_longs_and_keep_odd_postings(spark):
+    odd = [("a", 5, 2), ("a", -3, 1), ("a", 2**43 - 1, 2**20 - 1), ("a", 2**43, 1), ("a", 7, 2**20), ("a", 6, None), ("a", -(2**63), 4), ("a", 2**63 - 1, 1), ("b", 10, 1), ("b", 9, 3)]
+    lists = index.posting_lists(spark.createDataFrame(odd, "term string, doc_id long, tf long"))
+    found = {r.term: list(zip(r.doc_ids, r.frequencies, strict=True)) for r in lists.collect()}
+    assert found == {t: sorted((d, f) for term, d, f in odd if term == t) for t in ("a", "b")}
+    usual = index.posting_lists(spark.range(0, 4000, 1, 2).select(F.lit("a").alias("term"), F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("tf")))
+    assert shuffled_bytes(usual) < 4000 * 12  # a struct of two longs takes 32 bytes and more
+
+
+def shuffled_bytes(df):
+    """Size of what the plan's first shuffle holds."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().finalPhysicalPlan()
+    while not plan.getClass().getSimpleName().startswith("ShuffleExchange"):
+        plan = plan.plan() if plan.getClass().getSimpleName() == "ShuffleQueryStageExec" else plan.children().head()
+    return plan.metrics().apply("dataSize").value()
